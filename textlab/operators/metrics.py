@@ -100,21 +100,24 @@ def _f1(hits: Column, misses: Column) -> Column:
 def _summarize(histogram: DataFrame, groups: Sequence[str], fpr: float, digits: int | None) -> DataFrame:
     points = _cumulative(histogram, groups)
     rate = F.col("cum_neg") / F.when(F.col("n_neg") > 0, F.col("n_neg"))
-    point = F.struct("cum_neg", "cum_pos")
     # Pairs of one row of either class that the score puts in the right order; ties count half.
     ordered = F.col("pos") * (F.col("n_neg") - F.col("cum_neg") + 0.5 * F.col("neg"))
     sums = points.groupBy(*groups).agg(
         *[F.sum(c).alias(f"_{c}") for c in _COUNTS],
         F.sum(ordered).alias("_ordered"),
-        F.max(F.when(rate <= fpr, point)).alias("_left"),
-        F.min(F.when(rate > fpr, point)).alias("_right"),
+        # Both counts only grow along the curve: the last point within the rate has the largest
+        # ones, the first point beyond it the smallest.
+        F.max(F.when(rate <= fpr, F.col("cum_neg"))).alias("_left_neg"),
+        F.max(F.when(rate <= fpr, F.col("cum_pos"))).alias("_left_pos"),
+        F.min(F.when(rate > fpr, F.col("cum_neg"))).alias("_right_neg"),
+        F.min(F.when(rate > fpr, F.col("cum_pos"))).alias("_right_pos"),
     )
     pos, neg, tp, fp = (F.col(f"_{c}") for c in _COUNTS)
     fn, tn = pos - tp, neg - fp
     both = (pos > 0) & (neg > 0)
-    x0 = F.coalesce(F.col("_left.cum_neg"), F.lit(0)) / neg
-    y0 = F.coalesce(F.col("_left.cum_pos"), F.lit(0)) / pos
-    x1, y1 = F.col("_right.cum_neg") / neg, F.col("_right.cum_pos") / pos
+    x0 = F.coalesce(F.col("_left_neg"), F.lit(0)) / neg
+    y0 = F.coalesce(F.col("_left_pos"), F.lit(0)) / pos
+    x1, y1 = F.col("_right_neg") / neg, F.col("_right_pos") / pos
     interpolated = F.coalesce(y0 + (F.lit(float(fpr)) - x0) * (y1 - y0) / (x1 - x0), y0)
     shown = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
     return sums.select(
