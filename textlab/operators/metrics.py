@@ -1,10 +1,12 @@
 """Accuracy, macro-F1, AUROC and TPR at a fixed FPR, for any number of groups at once.
 
 Predictions are first reduced to a histogram: per group and distinct score, how many rows
-of either class.  Everything after that runs on the histogram.  Its cumulative sums are
-taken in two levels -- inside slabs of neighbouring scores, and over the slab totals -- with
-slab borders at the quantiles of the distinct scores, so a predictor that returns a
-different double for every row, or crowds them into a narrow range, still spreads evenly.
+of either class.  The histogram is stored, so the predictions are read once; everything
+after that works on it.  Its cumulative sums are plain windows while it is small.  A large
+one -- a predictor that returns a different double for every row -- is summed in two levels,
+inside slabs of neighbouring scores and over the slab totals, with slab borders at the
+quantiles of the distinct scores, so that scores crowded into a narrow range still spread
+evenly over the tasks.
 """
 
 from __future__ import annotations
@@ -13,12 +15,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from textlab.functions.labels import AI, UNKNOWN_SOURCE, is_ai
+from textlab.functions.labels import UNKNOWN_SOURCE, is_ai
+from textlab.storage import materialize
 
 # The false-positive rate reported, and printed digits.
 FPR = 0.01
 DIGITS = 4
 
+# A histogram up to this many rows is summed in one level.
+SMALL = 1_000_000
 SLABS = 256
 
 _COUNTS = ("pos", "neg", "tp", "fp")
@@ -39,19 +44,25 @@ def score_histogram(predictions: DataFrame, groups: Sequence[str] = ()) -> DataF
     )
 
 
-def _cumulative(histogram: DataFrame, groups: Sequence[str]) -> DataFrame:
+def _cumulative(histogram: DataFrame, groups: Sequence[str], small: int) -> DataFrame:
     """Add ``cum_pos, cum_neg`` (rows at this score or higher) and ``n_pos, n_neg`` per group."""
     groups = list(groups)
+    whole = Window.partitionBy(*groups)
+    if histogram.count() <= small:
+        down = whole.orderBy(F.desc("score"))
+        return histogram.select(
+            "*",
+            F.sum("pos").over(down).alias("cum_pos"),
+            F.sum("neg").over(down).alias("cum_neg"),
+            F.sum("pos").over(whole).alias("n_pos"),
+            F.sum("neg").over(whole).alias("n_neg"),
+        )
     steps = [i / SLABS for i in range(1, SLABS)]
-    borders = histogram.agg(F.percentile_approx("score", steps, 10 * SLABS).alias("b"))
-    slabbed = (
-        histogram.withColumn("_borders", F.array_distinct(borders.scalar()))
-        .withColumn("_slab", F.size(F.filter("_borders", lambda b: b < F.col("score"))))
-        .drop("_borders")
-    )
+    borders = histogram.agg(F.percentile_approx("score", steps, 10 * SLABS)).first()[0]
+    slab = F.size(F.filter(F.lit(borders), lambda border: border < F.col("score")))
+    slabbed = histogram.withColumn("_slab", slab)
     # At most SLABS rows per group.
     totals = slabbed.groupBy(*groups, "_slab").agg(F.sum("pos").alias("_sp"), F.sum("neg").alias("_sn"))
-    whole = Window.partitionBy(*groups)
     above = whole.orderBy(F.desc("_slab"))
     offsets = totals.select(
         *groups,
@@ -72,12 +83,12 @@ def _cumulative(histogram: DataFrame, groups: Sequence[str]) -> DataFrame:
     )
 
 
-def roc_curve(predictions: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+def roc_curve(predictions: DataFrame, groups: Sequence[str] = (), *, small: int = SMALL) -> DataFrame:
     """``*groups, threshold, fpr, tpr``: one point per distinct score, and the start at (0, 0).
 
     The starting point lies above every score and has a null threshold.
     """
-    points = _cumulative(score_histogram(predictions, groups), groups)
+    points = _cumulative(materialize(score_histogram(predictions, groups), "scores"), groups, small)
     rate = lambda part, whole: F.when(whole > 0, part / whole)
     curve = points.select(
         *groups,
@@ -97,8 +108,10 @@ def _f1(hits: Column, misses: Column) -> Column:
     return F.when(whole > 0, 2 * hits / whole).otherwise(F.lit(0.0))
 
 
-def _summarize(histogram: DataFrame, groups: Sequence[str], fpr: float, digits: int | None) -> DataFrame:
-    points = _cumulative(histogram, groups)
+def _summarize(
+    histogram: DataFrame, groups: Sequence[str], fpr: float, digits: int | None, small: int
+) -> DataFrame:
+    points = _cumulative(histogram, groups, small)
     rate = F.col("cum_neg") / F.when(F.col("n_neg") > 0, F.col("n_neg"))
     # Pairs of one row of either class that the score puts in the right order; ties count half.
     ordered = F.col("pos") * (F.col("n_neg") - F.col("cum_neg") + 0.5 * F.col("neg"))
@@ -133,17 +146,28 @@ def _summarize(histogram: DataFrame, groups: Sequence[str], fpr: float, digits:
 
 
 def metrics(
-    predictions: DataFrame, groups: Sequence[str] = (), *, fpr: float = FPR, digits: int | None = DIGITS
+    predictions: DataFrame,
+    groups: Sequence[str] = (),
+    *,
+    fpr: float = FPR,
+    digits: int | None = DIGITS,
+    small: int = SMALL,
 ) -> DataFrame:
     """One row of metrics per group.
 
     With one class only, accuracy is kept and the other three are null.
     """
-    return _summarize(score_histogram(predictions, groups), list(groups), fpr, digits)
+    stored = materialize(score_histogram(predictions, groups), "scores")
+    return _summarize(stored, list(groups), fpr, digits, small)
 
 
 def metrics_by_source(
-    predictions: DataFrame, source: str = "source_model", *, fpr: float = FPR, digits: int | None = DIGITS
+    predictions: DataFrame,
+    source: str = "source_model",
+    *,
+    fpr: float = FPR,
+    digits: int | None = DIGITS,
+    small: int = SMALL,
 ) -> DataFrame:
     """Overall metrics (null ``source_model``) and one row per source, from one pass.
 
@@ -160,7 +184,7 @@ def metrics_by_source(
         )
         .withColumn("_source", F.coalesce(F.col("_source"), F.lit("")))
     )
-    result = _summarize(both, ["_overall", "_source"], fpr, digits)
+    result = _summarize(materialize(both, "scores"), ["_overall", "_source"], fpr, digits, small)
     return result.select(
         F.when(F.col("_overall") == 0, F.col("_source")).alias("source_model"), *result.columns[2:]
     )

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textlab.functions import labels as L
-from textlab.functions.text import clean_text, na_to_null, strip, word_count
+from textlab.functions.text import clean_text, has_words, na_to_null, strip
 
 MIN_WORDS = 5
 
@@ -61,8 +61,8 @@ def _no_rows(df: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 
 def long_enough(df: DataFrame, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
-    """Rows whose cleaned text has at least ``min_words`` words."""
-    return df.filter(word_count(F.col(text)) >= min_words)
+    """Rows whose text, raw or cleaned, has at least ``min_words`` words."""
+    return df.filter(has_words(F.col(f"`{text}`"), min_words))
 
 
 def align_social(
@@ -81,19 +81,18 @@ def align_social(
     found = discover_columns([c for c in df.columns if c not in keep], headers)
     if found["text"] is None:
         return _no_rows(df, keep)
-    text = clean_text(_column(found["text"]))
     # A missing label in a table that has a label column is an unknown label, spelled "nan".
     raw = F.coalesce(L.raw_label(_column(found["label"])), F.lit("nan"))
     label = L.map_label(raw) if found["label"] else F.lit(L.HUMAN)
-    rows = df.select(
-        text.alias("text"),
+    rows = long_enough(df, min_words, found["text"]).select(
+        clean_text(_column(found["text"])).alias("text"),
         (raw if found["label"] else F.lit(None).cast("string")).alias("raw_label"),
         label.alias("label"),
         _column(found["model"]).alias("_model"),
         L.platform(_column(found["platform"])).alias("platform"),
         *keep,
     )
-    return long_enough(rows, min_words).select(
+    return rows.select(
         "text",
         "raw_label",
         "label",
@@ -117,7 +116,7 @@ def align_adversarial(
     found = discover_columns([c for c in df.columns if c not in keep], headers)
     if found["text"] is None:
         return _no_rows(df, keep)
-    rows = df.select(
+    rows = long_enough(df, min_words, found["text"]).select(
         clean_text(_column(found["text"])).alias("text"),
         L.raw_label(_column(found["label"])).alias("raw_label"),
         _column(found["model"]).alias("_model"),
@@ -129,18 +128,14 @@ def align_adversarial(
         .when(has_model, L.AI)
         .otherwise(L.HUMAN)
     )
-    return (
-        long_enough(rows, min_words)
-        .withColumn("label", label)
-        .select(
-            "text",
-            "raw_label",
-            "label",
-            L.source_model(F.col("_model"), F.col("label")).alias("source_model"),
-            F.lit(platform).alias("platform"),
-            F.lit(dataset).alias("dataset"),
-            *keep,
-        )
+    return rows.withColumn("label", label).select(
+        "text",
+        "raw_label",
+        "label",
+        L.source_model(F.col("_model"), F.col("label")).alias("source_model"),
+        F.lit(platform).alias("platform"),
+        F.lit(dataset).alias("dataset"),
+        *keep,
     )
 
 
@@ -170,7 +165,10 @@ def explode_answers(
         )
 
     answers = F.concat(tagged(human, L.HUMAN, L.HUMAN), tagged(machine, L.AI, machine_model))
-    rows = df.select(*keep, F.posexplode(answers).alias("answer_pos", "a")).select(
+    rows = df.select(*keep, F.posexplode(answers).alias("answer_pos", "a")).filter(
+        has_words(F.col("a.answer"), min_words)
+    )
+    return rows.select(
         clean_text(F.col("a.answer")).alias("text"),
         F.col("a.label").alias("label"),
         F.col("a.source_model").alias("source_model"),
@@ -179,7 +177,6 @@ def explode_answers(
         *keep,
         "answer_pos",
     )
-    return long_enough(rows, min_words)
 
 
 def accepted(aligned: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textlab.functions.text import seeded_hash
-from textlab.storage import scratch_path
+from textlab.storage import materialize, scratch_path
 
 # Hex digits that form a counting prefix: 16**4 = 65,536 prefixes per stratum, so the one
 # that has to be sorted holds about 1/65,536 of its stratum.
@@ -68,6 +68,14 @@ def hash_cuts(
     )
 
 
+def fixed(cuts: DataFrame) -> DataFrame:
+    """Run the search for cuts now and keep the handful of rows it gives.
+
+    A plan that uses them afterwards neither repeats the search nor waits for it.
+    """
+    return cuts.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
+
+
 def _pair_all(counts: DataFrame, targets: DataFrame) -> DataFrame:
     """Without strata every prefix count meets every target: both tables are report-sized."""
     listed = targets.agg(F.collect_list(F.struct("name", "n")).alias("t"))
@@ -125,10 +133,8 @@ def dense_ids(df: DataFrame, order_by: Sequence[str | Column] | None = None, id_
     files = stored.groupBy("_file").agg(F.count("*").alias("_rows"))
     # Task numbers are compared as numbers: beyond 99,999 their padded names no longer sort.
     task = F.regexp_extract("_file", r"^part-(\d+)", 1).cast("bigint")
-    offsets = files.select(
-        "_file",
-        (F.sum("_rows").over(Window.orderBy(task, "_file")) - F.col("_rows")).alias("_before"),
-    )
+    before = F.sum("_rows").over(Window.orderBy(task, "_file")) - F.col("_rows")
+    offsets = materialize(files.select("_file", before.alias("_before")), "offsets")
     columns = [c for c in df.columns if c != id_col]
     return stored.join(F.broadcast(offsets), "_file").select(
         (F.col("_before") + F.col("_row")).alias(id_col), *columns

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import math
+from collections.abc import Mapping
 
-from textlab.functions.text import word_count
-from textlab.operators.ranks import PREFIX_DIGITS, hash_cuts, with_hash_key, within
+from pyspark.sql import Column, DataFrame, functions as F
+
+from textlab.functions.text import has_words
+from textlab.operators.ranks import PREFIX_DIGITS, fixed, hash_cuts, with_hash_key, within
 
 # Split names, shares and seed.
 TRAIN, VAL, TEST = "train", "val", "test"
@@ -19,56 +22,39 @@ HOLDOUT_PLATFORM = "qa_forum"
 SHORT_TEXT_WORDS = 100
 
 
-def _largest_remainder(table: DataFrame, size: str, draw: Column, out: str) -> DataFrame:
-    """Share ``draw`` units among the rows of a label table in proportion to ``size``.
+def _largest_remainder(sizes: Mapping[str, int], draw: int) -> dict[str, int]:
+    """Share ``draw`` units in proportion to ``sizes``.
 
     Whole-number arithmetic; left-over units go to the largest remainders, ties to the
     label that sorts first.
     """
-    everything = Window.partitionBy()  # one row per label
-    wide = "decimal(19,0)"
-    total = F.sum(size).over(everything)
-    product = F.col(size).cast(wide) * draw.cast(wide)
-    shared = (
-        table.withColumn("_total", total.cast(wide))
-        .withColumn("_product", product)
-        .withColumn("_left", F.col("_product") % F.col("_total"))
-        .withColumn("_base", ((F.col("_product") - F.col("_left")) / F.col("_total")).cast("bigint"))
-    )
-    place = F.row_number().over(Window.partitionBy().orderBy(F.desc("_left"), "label"))
-    spare = draw - F.sum("_base").over(everything)
-    return (
-        shared.withColumn("_place", place)
-        .withColumn("_spare", spare)
-        .withColumn(out, F.col("_base") + (F.col("_place") <= F.col("_spare")).cast("bigint"))
-        .drop("_total", "_product", "_left", "_base", "_place", "_spare")
-    )
+    total = sum(sizes.values())
+    if total == 0:
+        return dict.fromkeys(sizes, 0)
+    shares = {label: n * draw // total for label, n in sizes.items()}
+    spare = draw - sum(shares.values())
+    by_remainder = sorted(sizes, key=lambda label: (-(sizes[label] * draw % total), label))
+    for label in by_remainder[:spare]:
+        shares[label] += 1
+    return shares
 
 
 def split_quotas(
-    corpus: DataFrame,
+    sizes: Mapping[str, int],
     held_out: float = HELD_OUT_SHARE,
     test_of_held_out: float = TEST_SHARE_OF_HELD_OUT,
-) -> DataFrame:
-    """Exact number of train, val and test rows per label: ``label, n, n_train, n_val, n_test``."""
-    everything = Window.partitionBy()
-    sizes = (
-        corpus.groupBy("label")
-        .agg(F.count("*").alias("n"))
-        .withColumn("_all", F.sum("n").over(everything))
-        .withColumn("_held", F.ceil(F.lit(float(held_out)) * F.col("_all")))
-        .withColumn("_test", F.ceil(F.lit(float(test_of_held_out)) * F.col("_held")))
-    )
-    trained = _largest_remainder(sizes, "n", F.col("_all") - F.col("_held"), "n_train")
-    rest = trained.withColumn("_rest", F.col("n") - F.col("n_train"))
-    return (
-        _largest_remainder(rest, "_rest", F.col("_held") - F.col("_test"), "n_val")
-        .withColumn("n_test", F.col("_rest") - F.col("n_val"))
-        .select("label", "n", "n_train", "n_val", "n_test")
-    )
-
-
-def stratified_split(
+) -> dict[str, tuple[int, int, int]]:
+    """Exact number of train, val and test rows per label."""
+    total = sum(sizes.values())
+    n_held = math.ceil(held_out * total)
+    n_test = math.ceil(test_of_held_out * n_held)
+    train = _largest_remainder(sizes, total - n_held)
+    rest = {label: n - train[label] for label, n in sizes.items()}
+    val = _largest_remainder(rest, n_held - n_test)
+    return {label: (train[label], val[label], rest[label] - val[label]) for label in sizes}
+
+
+def split_cuts(
     corpus: DataFrame,
     *,
     held_out: float = HELD_OUT_SHARE,
@@ -76,42 +62,64 @@ def stratified_split(
     seed: int = SEED,
     digits: int = PREFIX_DIGITS,
 ) -> DataFrame:
-    """Assign every row to train, val or test with exact per-label quotas: ``id, split``.
+    """The whole split as a rule: one row per label with the last key of train and of val.
 
-    Depends on ids, labels and seed only, not on how the input is partitioned.  Reads only
-    the label column (quotas) and the id and label columns (counts per prefix, cut keys,
-    assignment), and shuffles none of the rows; give it a stored columnar table.
+    Runs now.  Reads the label column (quotas) and the id and label columns twice (counts
+    per prefix, cut keys) and shuffles counts only; give it a stored columnar table.
     """
-    quotas = split_quotas(corpus, held_out, test_of_held_out)
-    targets = quotas.select(
-        "label",
-        F.explode(
-            F.array(
-                F.struct(F.lit(TRAIN).alias("name"), F.col("n_train").alias("n")),
-                F.struct(F.lit(VAL).alias("name"), (F.col("n_train") + F.col("n_val")).alias("n")),
-            )
-        ).alias("t"),
-    ).select("label", "t.*")
-    cuts = (
-        hash_cuts(corpus, targets, strata=["label"], seed=seed, digits=digits)
-        .groupBy("label")
-        .agg(
-            F.max(F.when(F.col("name") == TRAIN, F.col("cut"))).alias("_train_cut"),
-            F.max(F.when(F.col("name") == VAL, F.col("cut"))).alias("_val_cut"),
+    spark = corpus.sparkSession
+    # One row per label.
+    sizes = {r["label"]: r["n"] for r in corpus.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    quotas = split_quotas(sizes, held_out, test_of_held_out)
+    targets = spark.createDataFrame(
+        [
+            row
+            for label, (train, val, _) in quotas.items()
+            for row in ((label, TRAIN, train), (label, VAL, train + val))
+        ],
+        "label STRING, name STRING, n BIGINT",
+    )
+    cuts = hash_cuts(corpus, targets, strata=["label"], seed=seed, digits=digits)
+    return fixed(
+        cuts.groupBy("label").agg(
+            F.max(F.when(F.col("name") == TRAIN, F.col("cut"))).alias("train_cut"),
+            F.max(F.when(F.col("name") == VAL, F.col("cut"))).alias("val_cut"),
         )
     )
-    keyed = with_hash_key(corpus.select("id", "label"), "id", seed)
+
+
+def apply_cuts(df: DataFrame, cuts: DataFrame, *, seed: int = SEED) -> DataFrame:
+    """Add ``split`` to any table with ``id`` and ``label`` by comparing each row with the cuts.
+
+    A map over the rows where they lie, whatever else they carry: no join on ids.
+    """
     split = (
-        F.when(within(F.col("_key"), F.col("_train_cut")), TRAIN)
-        .when(within(F.col("_key"), F.col("_val_cut")), VAL)
+        F.when(within(F.col("_key"), F.col("train_cut")), TRAIN)
+        .when(within(F.col("_key"), F.col("val_cut")), VAL)
         .otherwise(TEST)
     )
-    # One cut row per label.
-    return keyed.join(F.broadcast(cuts), "label", "left").select("id", split.alias("split"))
+    keyed = with_hash_key(df, "id", seed).join(F.broadcast(cuts), "label", "left")
+    return keyed.select(*df.columns, split.alias("split"))
+
+
+def assign_split(corpus: DataFrame, *, seed: int = SEED, **options) -> DataFrame:
+    """The corpus with a ``split`` column: train, val or test with exact per-label quotas.
+
+    Depends on ids, labels and seed only, not on how the input is partitioned.
+    """
+    return apply_cuts(corpus, split_cuts(corpus.select("id", "label"), seed=seed, **options), seed=seed)
+
+
+def stratified_split(corpus: DataFrame, **options) -> DataFrame:
+    """The split as a table of its own: ``id, split``."""
+    return assign_split(corpus.select("id", "label"), **options).select("id", "split")
 
 
 def with_split(df: DataFrame, splits: DataFrame, id_col: str = "id") -> DataFrame:
-    """Look up each row's split; rows without one keep a null ``split``."""
+    """Look up each row's split in a stored table; rows without one keep a null ``split``.
+
+    Splits made here need no look-up: :func:`apply_cuts` decides them row by row.
+    """
     return df.join(splits.select(F.col("id").alias(id_col), "split"), id_col, "left")
 
 
@@ -144,7 +152,7 @@ def scenarios(
     are in a number range of their own and never mix with corpus ids.
     """
     is_test = F.col("split") == TEST
-    short = word_count(F.col("text")) < short_words
+    short = ~has_words(F.col("text"), short_words)
     member = F.array(
         F.when(is_test, F.lit("standard")),
         F.when(F.col("source_model") == model, F.lit(f"cross_model_{model}")),

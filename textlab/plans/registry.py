@@ -186,9 +186,7 @@ def vectors_view(spark: SparkSession, folder: str) -> DataFrame:
 
 def split_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """The vectors with their split, stored: a neighbour search reads them more than once."""
-    vectors = vectors_view(spark, folder)
-    assigned = splits.stratified_split(vectors.select("id", "label"))
-    return materialize(vectors.join(assigned, "id"), "vectors", partition_by=["split"])
+    return materialize(splits.assign_split(vectors_view(spark, folder)), "vectors", partition_by=["split"])
 
 
 def held_out(vectors: DataFrame) -> DataFrame:
@@ -240,7 +238,7 @@ def raw_answers(spark: SparkSession, folder: str) -> DataFrame:
 
 ANSWERS_SQL = f"""lines AS (
   SELECT conv_id AS k, turn, role, unnest(string_split(text, chr(10))) AS line,
-         unnest(range(len(string_split(text, chr(10))))) AS answer_pos
+         unnest(range(len(string_split(text, chr(10)))))::INT AS answer_pos
   FROM conversations WHERE role IN ('user', 'assistant')),
 answers AS (
   SELECT k, turn, answer_pos, {clean_sql('line')} AS text,
@@ -431,8 +429,7 @@ drawn AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY md5('
 SELECT id, label FROM drawn, smaller WHERE r <= m"""
 )
 def undersample(spark, folder):
-    corpus = corpus_view(spark, folder).select("id", "label")
-    train = splits.in_split(splits.with_split(corpus, splits.stratified_split(corpus)), splits.TRAIN)
+    train = splits.in_split(splits.assign_split(corpus_view(spark, folder).select("id", "label")), splits.TRAIN)
     return sampling.undersample(train.select("id", "label"))
 
 
@@ -455,8 +452,10 @@ SELECT n_ai, n_human, round(n_ai::DOUBLE / n_human, 6) AS ratio FROM (
   SELECT sum((label = 'ai')::INT)::BIGINT AS n_ai, sum((label = 'human')::INT)::BIGINT AS n_human FROM train)"""
 )
 def class_ratio(spark, folder):
+    # The split from a stored table, as one made elsewhere would be.
     corpus = corpus_view(spark, folder).select("id", "label")
-    train = splits.in_split(splits.with_split(corpus, splits.stratified_split(corpus)), splits.TRAIN)
+    stored = materialize(splits.stratified_split(corpus), "splits")
+    train = splits.in_split(splits.with_split(corpus, stored), splits.TRAIN)
     return reports.class_ratio(train).withColumn("ratio", F.round("ratio", 6))
 
 
@@ -464,8 +463,7 @@ def class_ratio(spark, folder):
 
 
 def merged_with_split(spark: SparkSession, folder: str) -> DataFrame:
-    corpus = merged_corpus(spark, folder)
-    return splits.with_split(corpus, splits.stratified_split(corpus))
+    return splits.assign_split(merged_corpus(spark, folder))
 
 
 _JOINED_SQL = f"{MERGED_SQL}, {split_sql('corpus')}, joined AS (SELECT c.*, split FROM corpus c JOIN splits s ON c.id = s.id)"
@@ -652,12 +650,12 @@ def knn_attribution(spark, folder):
 # --------------------------------------------------------------------------- prompts
 
 
-def prompt_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Corpus, splits and vectors of the documents that have a vector."""
+def prompt_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Split corpus and vectors of the documents that have a vector."""
     vectors = vectors_view(spark, folder)
     texts = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
     corpus = texts.join(vectors.select("id", "label", "source_model"), "id")
-    return corpus, splits.stratified_split(corpus.select("id", "label")), vectors
+    return splits.assign_split(corpus), vectors
 
 
 _HEAD = "'You are a classifier that determines whether a social media post was written by a human or generated by AI.' || chr(10) || chr(10)"
@@ -699,8 +697,8 @@ def truncate_text(spark, folder):
 
 @query(f"WITH {_DOCS_SQL}, {_context_sql('labelled', 'train')} SELECT qid, context FROM context")
 def rag_context(spark, folder):
-    corpus, assigned, vectors = prompt_inputs(spark, folder)
-    stored = training.labelled_vectors(corpus, assigned, vectors)
+    corpus, vectors = prompt_inputs(spark, folder)
+    stored = training.labelled_vectors(corpus, vectors)
     neighbours = knn_join(stored, candidates(stored), prompts.SHOWN, exclude_self=True)
     return prompts.rag_context(neighbours, corpus)
 
@@ -710,8 +708,8 @@ def rag_context(spark, folder):
 SELECT id, {_RAG} AS instruction, label AS output FROM labelled q LEFT JOIN context c ON q.id = c.qid"""
 )
 def rag_prompts(spark, folder):
-    corpus, assigned, vectors = prompt_inputs(spark, folder)
-    stored = training.labelled_vectors(corpus, assigned, vectors)
+    corpus, vectors = prompt_inputs(spark, folder)
+    stored = training.labelled_vectors(corpus, vectors)
     neighbours = knn_join(stored, candidates(stored), prompts.SHOWN, exclude_self=True)
     return prompts.rag_prompts(corpus, neighbours, corpus)
 
