@@ -127,15 +127,15 @@ def dense_ids(df: DataFrame, order_by: Sequence[str | Column] | None = None, id_
     stored = (
         spark.read.schema(df.schema)
         .parquet(path)
-        .select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        .select("*", F.col("_metadata.file_name").alias("_part_file"), F.col("_metadata.row_index").alias("_part_row"))
     )
     # One row per file: bounded by the number of write tasks, whatever the row count.
-    files = stored.groupBy("_file").agg(F.count("*").alias("_rows"))
+    files = stored.groupBy("_part_file").agg(F.count("*").alias("_part_rows"))
     # Task numbers are compared as numbers: beyond 99,999 their padded names no longer sort.
-    task = F.regexp_extract("_file", r"^part-(\d+)", 1).cast("bigint")
-    before = F.sum("_rows").over(Window.orderBy(task, "_file")) - F.col("_rows")
-    offsets = materialize(files.select("_file", before.alias("_before")), "offsets")
+    task = F.regexp_extract("_part_file", r"^part-(\d+)", 1).cast("bigint")
+    before = F.sum("_part_rows").over(Window.orderBy(task, "_part_file")) - F.col("_part_rows")
+    offsets = materialize(files.select("_part_file", before.alias("_part_before")), "offsets")
     columns = [c for c in df.columns if c != id_col]
-    return stored.join(F.broadcast(offsets), "_file").select(
-        (F.col("_before") + F.col("_row")).alias(id_col), *columns
+    return stored.join(F.broadcast(offsets), "_part_file").select(
+        (F.col("_part_before") + F.col("_part_row")).alias(id_col), *columns
     )
