@@ -113,17 +113,27 @@ def hash_rank(
     )
 
 
-def dense_ids(df: DataFrame, order_by: Sequence[str | Column] | None = None, id_col: str = "id") -> DataFrame:
+def dense_ids(
+    df: DataFrame,
+    order_by: Sequence[str | Column] | None = None,
+    id_col: str = "id",
+    staged: bool = True,
+) -> DataFrame:
     """Number the rows 0, 1, 2, ... in the order of a unique sort key.
 
     The rows are range-sorted into files once (balanced, because the key is unique) and
     numbered by where they lie: rows in earlier files plus the position in the file.
     With ``order_by=None`` they keep the order of the input's partitions, without any
     shuffle.  The copy lies in the shared folder, so every later read sees the same ids.
+
+    A range sort runs its input twice, once to sample the key.  ``staged`` writes the input
+    down first, so that costly expressions in it run once; pass False for a stored table.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "ordered")
-    (df if order_by is None else df.orderBy(*order_by)).write.parquet(path)
+    if order_by is not None:
+        df = (materialize(df, "staged") if staged else df).orderBy(*order_by)
+    df.write.parquet(path)
     stored = (
         spark.read.schema(df.schema)
         .parquet(path)

@@ -20,9 +20,13 @@ _SORT_KEY = ("_source", *ORDER_COLUMNS, "answer_pos")
 
 
 def build_corpus(
-    spark: SparkSession, social_folder: str, answers_path: str, *, multiline: bool = True
+    spark: SparkSession, social_folder: str, answers_path: str, *, multiline: bool = True, ordered: bool = True
 ) -> DataFrame:
-    """Social files in path order, then answer records, numbered from 0 in that order."""
+    """Social files in path order, then answer records, numbered from 0 in that order.
+
+    ``ordered=False`` numbers the rows as the tasks read them and saves the sort: ids are
+    dense and, once given, fixed, but follow no stated order.
+    """
     order = list(ORDER_COLUMNS)
     parts = [
         accepted(align_social(table, keep=order), keep=order)
@@ -31,7 +35,7 @@ def build_corpus(
         for table in read_csv_folder(spark, social_folder, multiline=multiline)
     ]
     parts.append(explode_answers(read_answers(spark, answers_path), keep=order).withColumn("_source", F.lit(1)))
-    numbered = dense_ids(combine(*parts), order_by=list(_SORT_KEY))
+    numbered = dense_ids(combine(*parts), order_by=list(_SORT_KEY) if ordered else None)
     return require_rows(numbered.select("id", *CORPUS_FIELDS), "no corpus records found")
 
 

@@ -17,7 +17,7 @@ from textlab.operators import checks, classify, metrics, normalize, prompts, ran
 from textlab.operators.embed import HashingEmbedder, embed, embed_missing
 from textlab.operators.knn import knn_join
 from textlab.plans import evaluation, training
-from textlab.sources.readers import read_answers, read_csv_folder
+from textlab.sources.readers import read_answers, read_csv_folder, spread
 from textlab.storage import materialize, scratch_path
 from textlab.streaming.streams import stream_embed, stream_normalize, stream_score
 
@@ -43,6 +43,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents_to_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents, over all cores even if they come in one file."""
+    return spread(table(spark, folder, "documents"), "doc_id")
+
+
 # --------------------------------------------------------------------------- SQL building blocks
 
 _SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -199,7 +204,7 @@ def candidates(vectors: DataFrame) -> DataFrame:
 
 def raw_posts(spark: SparkSession, folder: str) -> DataFrame:
     """Documents under the kind of headers a social export has; labels where there are any."""
-    joined = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
+    joined = documents_to_clean(spark, folder).join(table(spark, folder, "labels"), "doc_id", "left")
     return joined.select(
         F.col("doc_id").alias("k"),
         F.upper("lang").alias("Network"),
@@ -277,7 +282,7 @@ def merged_corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 def raw_adversarial(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as an adversarial export: some labels and models missing, some labels odd."""
-    joined = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
+    joined = documents_to_clean(spark, folder).join(table(spark, folder, "labels"), "doc_id", "left")
     return joined.select(
         F.col("doc_id").alias("k"),
         F.col("text").alias("generation"),
@@ -314,10 +319,10 @@ def adversarial_rows(spark: SparkSession, folder: str) -> DataFrame:
        {words_sql(clean_sql('html'))}::INT AS n_words FROM pages"""
 )
 def clean_page_text(spark, folder):
-    html = clean_text(F.col("html"))
-    return table(spark, folder, "pages").select(
-        "page_id", clean_text(F.col("url")).alias("clean_url"), html.alias("clean_html")
-    ).withColumn("n_words", word_count(F.col("clean_html")))
+    pages = spread(table(spark, folder, "pages"), "page_id").select(
+        "page_id", clean_text(F.col("url")).alias("clean_url"), clean_text(F.col("html")).alias("clean_html")
+    )
+    return pages.withColumn("n_words", word_count(F.col("clean_html")))
 
 
 @query(
@@ -325,7 +330,7 @@ def clean_page_text(spark, folder):
 SELECT doc_id, text, {words_sql('text')}::INT AS n_words FROM c WHERE {words_sql('text')} >= 5"""
 )
 def min_words(spark, folder):
-    cleaned = table(spark, folder, "documents").select("doc_id", clean_text(F.col("text")).alias("text"))
+    cleaned = documents_to_clean(spark, folder).select("doc_id", clean_text(F.col("text")).alias("text"))
     return normalize.long_enough(cleaned).withColumn("n_words", word_count(F.col("text")))
 
 
@@ -395,7 +400,7 @@ def composition(spark, folder):
 @query("SELECT row_number() OVER (ORDER BY lang, doc_id) - 1 AS id, doc_id, lang, n_chars FROM documents")
 def dense_ids(spark, folder):
     rows = table(spark, folder, "documents").select("doc_id", "lang", "n_chars")
-    return ranks.dense_ids(rows, order_by=["lang", "doc_id"])
+    return ranks.dense_ids(rows, order_by=["lang", "doc_id"], staged=False)
 
 
 @query(
@@ -825,7 +830,7 @@ FROM documents d LEFT JOIN terms t ON d.doc_id = t.id GROUP BY d.doc_id"""
 
 
 def cleaned_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
+    return documents_to_clean(spark, folder).select(
         F.col("doc_id").alias("id"), clean_text(F.col("text")).alias("text"), "lang"
     )
 

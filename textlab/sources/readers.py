@@ -29,6 +29,17 @@ def with_scan_order(df: DataFrame) -> DataFrame:
     )
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal the rows of a few large files out to all cores before costly work on them.
+
+    A file that cannot be split is one task, however many cores there are.  With at least
+    as many files as cores the rows stay where they are, so a large table is not shuffled.
+    ``keys`` identify a row; hashing them gives the same tasks again after a failure.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+
+
 def _is_missing(error: AnalysisException) -> bool:
     return error.getCondition() == "PATH_NOT_FOUND"
 
@@ -64,6 +75,7 @@ def read_csv_folder(
     Files with the same header share a scan, so the plan grows with the number of layouts
     and not with the number of files.  ``multiline=False`` lets plain files be split, for
     data known to have no quoted line breaks; gzip files are one task each in any case.
+    Few files are dealt out to all cores.
     """
     by_header: dict[tuple[str, ...], list[str]] = {}
     for path in list_files(spark, folder, *globs):
@@ -72,14 +84,15 @@ def read_csv_folder(
     tables = []
     for header, paths in by_header.items():
         schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
-        tables.append(with_scan_order(_csv(spark, multiline).schema(schema).csv(paths)))
+        table = with_scan_order(_csv(spark, multiline).schema(schema).csv(paths))
+        tables.append(spread(table, *ORDER_COLUMNS))
     return tables
 
 
 def read_csv(spark: SparkSession, path: str, *, multiline: bool = True) -> DataFrame | None:
     """A single CSV file, or None if it is absent."""
     try:
-        return with_scan_order(_csv(spark, multiline).csv(path))
+        return spread(with_scan_order(_csv(spark, multiline).csv(path)), *ORDER_COLUMNS)
     except AnalysisException as error:
         if _is_missing(error):
             return None
