@@ -144,6 +144,10 @@ def test_build_adversarial(spark, tmp_path):
     ]
 
 
+def lines_in(folder):
+    return [json.loads(line) for part in sorted(folder.glob("part-*")) for line in part.read_text().splitlines()]
+
+
 def test_writers(spark, tmp_path):
     corpus = spark.createDataFrame(
         [(0, "né 😀", "ai", "m", "p", "d"), (1, "b", "human", "human", "p", "d")], readers.CORPUS_SCHEMA
@@ -167,11 +171,11 @@ def test_writers(spark, tmp_path):
         "id BIGINT, split STRING, variant STRING, instruction STRING, output STRING",
     )
     writers.write_instructions(records, out("instructions"))
-    part = next((tmp_path / "instructions" / "split=train" / "variant=with_rag").glob("part-*"))
-    assert json.loads(part.read_text()) == {"instruction": "i", "output": "ai"}
+    folder = tmp_path / "instructions" / "split=train" / "variant=with_rag"
+    assert lines_in(folder) == [{"instruction": "i", "output": "ai"}]
 
     writers.write_metrics(spark.createDataFrame([("a", None)], "s STRING, auroc DOUBLE"), out("metrics"))
-    assert json.loads(next((tmp_path / "metrics").glob("part-*")).read_text()) == {"s": "a", "auroc": None}
+    assert lines_in(tmp_path / "metrics") == [{"s": "a", "auroc": None}]
 
     writers.write_ids(split, out("ids"))
     writers.write_if_absent(split.limit(0).select("id"), out("ids"))
