@@ -44,6 +44,8 @@ STRATEGIES = [
     {"strategy": "block"},
     {"strategy": "block", "block_bytes": 8 * 8 * 20},
     {"broadcast_bytes": 0, "block_bytes": 8 * 8 * 7},
+    {"strategy": "pruned"},
+    {"strategy": "pruned", "block_bytes": 8 * 8 * 20},
 ]
 
 
@@ -163,3 +165,50 @@ def test_self_match_check(spark, points):
     }
     found = checks.check_self_match(table(spark, points)).first()
     assert (found["n_rows"], found["n_self"], found["ok"]) == (120, 117, False)
+
+
+def clusters(n, groups, seed):
+    rng = np.random.default_rng(seed)
+    centers = rng.normal(size=(groups, 8)) * 5
+    # Two thirds of all rows lie in two of the groups.
+    group = np.where(rng.random(n) < 0.66, rng.integers(0, 2, n), rng.integers(0, groups, n))
+    return centers[group] + rng.normal(size=(n, 8)) * 0.05
+
+
+def test_pruning_skips_cells_and_loses_nothing(spark, monkeypatch):
+    from textlab.operators import knn_pruned
+
+    m = clusters(900, 12, 5)
+    df = table(spark, m, kind="DOUBLE")
+    routed = []
+    real = knn_pruned.route
+
+    def spy(*args):
+        routed.append(real(*args))
+        return routed[-1]
+
+    monkeypatch.setattr(knn_pruned, "route", spy)
+    result = knn.knn_join(df, df, 5, exclude_self=True, strategy="pruned", block_bytes=8 * 8 * 50)
+    assert found(result) == brute(m, m, 5, True)
+    located = knn_pruned.locate(df, "embedding", knn_pruned.choose_pivots(df, "id", "embedding", 900))
+    held = {r["_cell"]: r["count"] for r in located.groupBy("_cell").count().collect()}
+    pairs = sum(held[r["_cell"]] for part in routed for r in part.select("_cell").collect())
+    assert pairs < 0.5 * 900 * 900
+
+
+def test_pruned_bounds_hold(spark):
+    from textlab.operators.knn_pruned import Cells
+
+    rng = np.random.default_rng(6)
+    unit = rng.normal(size=(400, 6))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    pivots, queries = unit[:10], unit[350:]
+    angles = np.arccos(np.clip(unit[:350] @ pivots.T, -1, 1))
+    cell = angles.argmin(axis=1)
+    table = [
+        {"_cell": c, "n": int((cell == c).sum()), "low": angles[cell == c, c].min(), "high": angles[cell == c, c].max()}
+        for c in range(10)
+    ]
+    bounds = Cells(pivots, table).bounds(queries)
+    for c in range(10):
+        assert ((queries @ unit[:350][cell == c].T).max(axis=1) <= bounds[:, c] + 1e-9).all()

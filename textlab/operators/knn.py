@@ -1,16 +1,20 @@
 """Exact cosine top-k join.
 
-Every query has to be compared with every candidate, so the work is quadratic by
-definition; what matters is that pairs are scored in dense blocks, that no pair leaves
-the task that scored it unless it is in that task's top k, and that no task holds more
-than two bounded blocks.
+Exact search compares a query with every candidate it cannot rule out, so the work is
+quadratic in the worst case; what matters is that pairs are scored in dense blocks, that no
+pair leaves the task that scored it unless it is in that task's top k, and that no task
+holds more than two bounded blocks.
 
 * ``broadcast``: the candidate side is counted first and, below a byte limit, shipped to
   every executor.  Queries are scored where they lie; nothing is shuffled.
 * ``block``: both sides are cut into blocks by a hash of the id and laid out as a grid.
   Each cell scores one block pair and emits its top k; a window merges the cells.
 
-Both score a pair with the same arithmetic, so they return the same rows.
+* ``pruned``: candidates are grouped around pivots, and a query meets only the groups that
+  can still hold a better neighbour than those it has (see ``knn_pruned``).  Pays off where
+  vectors form clusters; on vectors without structure it does the work of ``block`` and more.
+
+All score a pair with the same arithmetic, so they return the same rows.
 """
 
 from __future__ import annotations
@@ -185,44 +189,85 @@ def _knn_broadcast(queries, train, k, query_id, train_id, vector, exclude_self,
     return queries.select(query_id, vector).mapInArrow(match, schema)
 
 
-def _knn_block(queries, train, k, query_id, train_id, vector, exclude_self, carry, block_bytes, shape):
-    n_train, dims = shape
-    n_query, _ = vector_shape(queries, vector)
-    rows = max(1, block_bytes // (8 * max(dims, 1)))
-    q_blocks, t_blocks = max(1, -(-n_query // rows)), max(1, -(-n_train // rows))
+def block_rows(block_bytes: int, dims: int) -> int:
+    """Vectors in a block of the given size."""
+    return max(1, block_bytes // (8 * max(dims, 1)))
+
+
+def grid(
+    queries: DataFrame,
+    train: DataFrame,
+    k: int,
+    *,
+    query_id: str,
+    train_id: str,
+    vector: str,
+    exclude_self: bool,
+    carry: Sequence[str],
+) -> DataFrame:
+    """Score queries against the candidates of the same ``_cell``, block pair by block pair.
+
+    Either side also has ``q_blocks`` and ``t_blocks``, the cell's number of blocks.  Gives
+    the top k of each block pair as ``qid, tid, score, *carry``.
+    """
 
-    def laid_out(df, key, columns, blocks, own, other, copies):
+    def laid_out(df, key, extra, own, own_blocks, other, other_blocks):
         # Ids are unique, so a hash of the id gives even blocks whatever the data looks like.
+        # New column names keep the sides apart where both come from one table.
+        columns = [F.col(key).alias("_id"), F.col(vector).alias("_v"), *[F.col(c).alias(c) for c in extra]]
         return df.select(
-            F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias(own),
-            F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias(other),
+            F.col("_cell").alias("_cell"),
+            F.pmod(F.xxhash64(key), F.col(own_blocks)).cast("int").alias(own),
+            F.explode(F.sequence(F.lit(0), F.col(other_blocks) - 1)).alias(other),
             *columns,
         )
 
-    q = laid_out(queries, query_id, [query_id, vector], q_blocks, "_qb", "_tb", t_blocks)
-    t = laid_out(train, train_id, [train_id, *carry, vector], t_blocks, "_tb", "_qb", q_blocks)
+    q = laid_out(queries, query_id, [], "_qb", "q_blocks", "_tb", "t_blocks")
+    t = laid_out(train, train_id, carry, "_tb", "t_blocks", "_qb", "q_blocks")
     schema = _result_schema(queries, train, query_id, train_id, carry)
     arrow_names = schema.names
 
-    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = Candidates(
-            right.column(train_id).to_numpy(), _matrix(right.column(vector)), k
-        )
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = []
         if left.num_rows and right.num_rows:
-            ids = left.column(query_id).combine_chunks()
-            hits = _emit(ids, right, found, _matrix(left.column(vector)), k, exclude_self, [train_id, *carry])
-            for qid, (tid, *carried), score in hits:
-                parts.append(pa.table([qid, tid, pa.array(score), *carried], names=arrow_names))
+            found = Candidates(right.column("_id").to_numpy(), _matrix(right.column("_v")), k)
+            ids = left.column("_id").combine_chunks()
+            hits = _emit(ids, right, found, _matrix(left.column("_v")), k, exclude_self, ["_id", *carry])
+            for qid, (tid, *carried), scores in hits:
+                parts.append(pa.table([qid, tid, pa.array(scores), *carried], names=arrow_names))
         if parts:
             return pa.concat_tables(parts)
-        kinds = [left.schema.field(query_id).type, right.schema.field(train_id).type, pa.float64()]
+        kinds = [left.schema.field("_id").type, right.schema.field("_id").type, pa.float64()]
         kinds += [right.schema.field(c).type for c in carry]
         return pa.table([pa.array([], type=kind) for kind in kinds], names=arrow_names)
 
-    cells = q.groupBy("_qb", "_tb").cogroup(t.groupBy("_qb", "_tb")).applyInArrow(cell, schema)
+    keys = ("_cell", "_qb", "_tb")
+    return q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInArrow(score, schema)
+
+
+def merge_top_k(parts: DataFrame, k: int) -> DataFrame:
+    """The k best of each query over all block pairs, with their ``rank``."""
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "tid")
-    return cells.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return parts.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
+def _knn_block(queries, train, k, query_id, train_id, vector, exclude_self, carry, block_bytes, shape):
+    n_train, dims = shape
+    n_query, _ = vector_shape(queries, vector)
+    rows = block_rows(block_bytes, dims)
+    q_blocks, t_blocks = max(1, -(-n_query // rows)), max(1, -(-n_train // rows))
+    one_cell = {"_cell": F.lit(0), "q_blocks": F.lit(q_blocks), "t_blocks": F.lit(t_blocks)}
+    parts = grid(
+        queries.withColumns(one_cell),
+        train.withColumns(one_cell),
+        k,
+        query_id=query_id,
+        train_id=train_id,
+        vector=vector,
+        exclude_self=exclude_self,
+        carry=carry,
+    )
+    return merge_top_k(parts, k)
 
 
 def knn_join(
@@ -250,14 +295,18 @@ def knn_join(
     Measuring ``train`` (and in the block form ``queries``) is a job of its own; give
     stored tables.  Ids are whole numbers, unique on either side.
     """
-    if strategy not in ("auto", "broadcast", "block"):
+    if strategy not in ("auto", "broadcast", "block", "pruned"):
         raise ValueError(f"unknown strategy: {strategy}")
     shape = vector_shape(train, vector)
     fits = shape[0] * shape[1] * 8 <= broadcast_bytes
     if strategy == "broadcast" and not fits:
         raise ValueError("candidate table is larger than broadcast_bytes; use the block strategy")
     columns = (queries, train, k, query_id, train_id, vector, exclude_self, list(carry))
-    if fits and strategy != "block":
+    if strategy == "pruned":
+        from textlab.operators.knn_pruned import knn_pruned
+
+        result = knn_pruned(*columns, block_bytes, shape)
+    elif fits and strategy != "block":
         result = _knn_broadcast(*columns)
     else:
         result = _knn_block(*columns, block_bytes, shape)
