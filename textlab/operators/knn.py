@@ -83,6 +83,13 @@ class Candidates:
         self.unit = unit
         self.single = unit.astype(np.float32)
 
+    @classmethod
+    def restore(cls, arrays: dict[str, np.ndarray]) -> Candidates:
+        """A block from its ``vars()``, the form in which it is broadcast."""
+        block = cls.__new__(cls)
+        vars(block).update(arrays)
+        return block
+
     def search(
         self, query_ids: np.ndarray, queries: np.ndarray, k: int, exclude_self: bool
     ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -160,10 +167,11 @@ def broadcast_matcher(
     index = Candidates(
         table.column(train_id).to_numpy(), _matrix(table.column(vector)), k
     )
-    shipped = train.sparkSession.sparkContext.broadcast((table.select(names), index))
+    shipped = train.sparkSession.sparkContext.broadcast((table.select(names), vars(index)))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        payload, found = shipped.value
+        payload, arrays = shipped.value
+        found = Candidates.restore(arrays)
         for batch in batches:
             hits = _emit(
                 batch.column(query_id), payload, found, _matrix(batch.column(vector)), k, exclude_self, names

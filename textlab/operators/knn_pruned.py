@@ -28,6 +28,9 @@ from textlab.storage import materialize
 
 # Bounds the pivot matrix, the cell table and the work of locating a vector.
 MAX_PIVOTS = 2048
+DRAWN_PER_PIVOT = 8
+# Rows handed over at once when a query goes to many cells.
+SENT_ROWS = 4096
 # Added to every angle bound: covers the rounding of arccos many times over.
 SLACK = 1e-6
 # Cell of vectors without a direction, which score 0 with everything.
@@ -39,11 +42,23 @@ def _angles(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def choose_pivots(train: DataFrame, train_id: str, vector: str, n_train: int) -> np.ndarray:
-    """Up to ``MAX_PIVOTS`` distinct directions, drawn by hash of the id."""
+    """Up to ``MAX_PIVOTS`` directions that lie far apart, from a bounded draw by hash of the id.
+
+    Each further pivot is the drawn vector farthest from those chosen, so every cluster of
+    some size gets one and cells stay narrow.
+    """
     wanted = min(MAX_PIVOTS, max(1, math.isqrt(n_train)))
-    drawn = train.select(vector, seeded_hash(F.col(train_id), 0).alias("_h")).orderBy("_h").limit(wanted)
-    unit = _unit(_matrix(drawn.select(vector).toArrow().column(0)))
-    return np.unique(unit[(unit != 0).any(axis=1)], axis=0)
+    drawn = train.select(vector, seeded_hash(F.col(train_id), 0).alias("_h"))
+    drawn = drawn.orderBy("_h").limit(wanted * DRAWN_PER_PIVOT).select(vector).toArrow()
+    unit = _unit(_matrix(drawn.column(0)))
+    unit = np.unique(unit[(unit != 0).any(axis=1)], axis=0)
+    if len(unit) == 0:
+        return unit
+    chosen, closest = [0], unit @ unit[0]
+    while len(chosen) < min(wanted, len(unit)):
+        chosen.append(int(closest.argmin()))
+        np.maximum(closest, unit @ unit[chosen[-1]], out=closest)
+    return unit[chosen]
 
 
 def locate(train: DataFrame, vector: str, pivots: np.ndarray) -> DataFrame:
@@ -112,10 +127,13 @@ def route(queries: DataFrame, query_id: str, vector: str, cells: Cells, k: int,
                     bars = part.column(bar).to_numpy(zero_copy_only=False)
                     wanted = ~wanted & (best >= bars[:, None] - SLACK)
                 rows, cols = np.nonzero(wanted)
-                sent = part.select([query_id, vector]).take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays(
-                    [*sent.columns, pa.array(cells.ids[cols])], names=[query_id, vector, "_cell"]
-                )
+                asking = part.select([query_id, vector])
+                for lo in range(0, len(rows), SENT_ROWS):
+                    sent = asking.take(pa.array(rows[lo : lo + SENT_ROWS]))
+                    yield pa.RecordBatch.from_arrays(
+                        [*sent.columns, pa.array(cells.ids[cols[lo : lo + SENT_ROWS]])],
+                        names=[query_id, vector, "_cell"],
+                    )
 
     schema = T.StructType([queries.schema[query_id], queries.schema[vector], T.StructField("_cell", T.IntegerType())])
     columns = [query_id, vector] + ([bar] if bar else [])

@@ -586,6 +586,14 @@ def knn_block(spark, folder):
     )
 
 
+@query(f"WITH {_VOTING_SQL} {_NEIGHBOURS_SQL}")
+def knn_pruned(spark, folder):
+    vectors = split_vectors(spark, folder)
+    return _rounded(
+        knn_join(held_out(vectors), candidates(vectors), 10, strategy="pruned", block_bytes=GRID_BLOCK_BYTES)
+    )
+
+
 @query(f"WITH {_SPLIT_VECTORS_SQL}, {knn_sql('labelled', 'train', 10, 'AND q.id <> t.id')} {_NEIGHBOURS_SQL}")
 def knn_self_excluded(spark, folder):
     vectors = split_vectors(spark, folder)

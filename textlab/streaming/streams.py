@@ -58,10 +58,11 @@ def _vote_in_place(queries: DataFrame, train: DataFrame, k: int, vector: str) ->
     table = train.select("id", "label", vector).toArrow()
     index = Candidates(table.column("id").to_numpy(), _matrix(table.column(vector)), k)
     says_ai = np.array([label == AI for label in table.column("label").to_pylist()])[index.rows]
-    shipped = train.sparkSession.sparkContext.broadcast((index, says_ai))
+    shipped = train.sparkSession.sparkContext.broadcast((vars(index), says_ai))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, is_ai = shipped.value
+        arrays, is_ai = shipped.value
+        found = Candidates.restore(arrays)
         for batch in batches:
             n = batch.num_rows
             ids = batch.column("id").to_numpy(zero_copy_only=False)
