@@ -95,6 +95,7 @@ def write_raw(folder):
         f.write(f"label,content\n1,{LONG} a0\n0,{LONG} a1\nbanana,{LONG} a2\n")
     (social / "c.csv").write_text(f"label,content\ntrue,{LONG} c0\n")
     (social / "d.csv").write_text("id,note\n1,nothing here\n")
+    (social / "e.csv").write_text("")
     (social / "ignored.txt").write_text("text\nno\n")
     answers = folder / "answers.jsonl"
     lines = [

@@ -145,6 +145,13 @@ def test_block_plan_keeps_only_top_k_before_the_merge(spark, points):
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+@pytest.mark.parametrize("bad", [[None, [1.0, 2.0]], [[1.0], [1.0, 2.0]], [[float("nan"), 1.0], [1.0, 2.0]]])
+def test_broken_vectors_are_an_error(spark, bad):
+    df = spark.createDataFrame(list(enumerate(bad)), "id BIGINT, embedding ARRAY<DOUBLE>").coalesce(1)
+    with pytest.raises(Exception, match="vectors"):
+        knn.knn_join(df, df, 1).collect()
+
+
 def test_vector_expressions(spark):
     df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 0.0])], "a ARRAY<FLOAT>, b ARRAY<FLOAT>")
     got = df.select(dot(F.col("a"), F.col("b")), cosine(F.col("a"), F.col("b")), l2_normalize(F.col("a"))).collect()

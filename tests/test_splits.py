@@ -70,6 +70,13 @@ def test_tiny_splits(spark):
     assert rows(splits.stratified_split(corpus(spark, ["ai", "human"]))) == [(0, "train"), (1, "test")]
 
 
+def test_unknown_labels_have_no_split(spark):
+    df = spark.createDataFrame([(0, "ai"), (1, "human"), (2, None)], "id BIGINT, label STRING")
+    cuts = splits.split_cuts(df)
+    more = df.unionByName(spark.createDataFrame([(3, "odd")], df.schema))
+    assert rows(splits.apply_cuts(more, cuts).select("id", "split")) == [(0, "train"), (1, "test"), (2, None), (3, None)]
+
+
 def test_assignment_is_a_map_without_shuffle(spark):
     df = corpus(spark, ["ai", "human"] * 50)
     cuts = splits.split_cuts(df)

@@ -23,6 +23,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 # A candidate matrix up to this size (as doubles) is broadcast.
@@ -44,10 +45,14 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     rows = len(column)
     if rows == 0:
         return np.zeros((0, 0))
+    lengths = pc.list_value_length(column)
+    if column.null_count or pc.min(lengths).as_py() != pc.max(lengths).as_py():
+        raise ValueError("vectors of one table must be there and have the same length")
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    if flat.size % rows:
-        raise ValueError("vectors of one table must have the same length")
-    return flat.reshape(rows, -1).astype(np.float64)
+    matrix = flat.reshape(rows, -1).astype(np.float64)
+    if not np.isfinite(matrix).all():
+        raise ValueError("vectors must hold finite numbers")
+    return matrix
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:

@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textlab.functions.text import has_words
-from textlab.operators.ranks import PREFIX_DIGITS, fixed, hash_cuts, with_hash_key, within
+from textlab.operators.ranks import PREFIX_DIGITS, hash_cuts, with_hash_key, within
 
 # Split names, shares and seed.
 TRAIN, VAL, TEST = "train", "val", "test"
@@ -68,8 +68,9 @@ def split_cuts(
     per prefix, cut keys) and shuffles counts only; give it a stored columnar table.
     """
     spark = corpus.sparkSession
+    labelled = corpus.filter(F.col("label").isNotNull())
     # One row per label.
-    sizes = {r["label"]: r["n"] for r in corpus.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     quotas = split_quotas(sizes, held_out, test_of_held_out)
     targets = spark.createDataFrame(
         [
@@ -79,26 +80,29 @@ def split_cuts(
         ],
         "label STRING, name STRING, n BIGINT",
     )
-    cuts = hash_cuts(corpus, targets, strata=["label"], seed=seed, digits=digits)
-    return fixed(
-        cuts.groupBy("label").agg(
-            F.max(F.when(F.col("name") == TRAIN, F.col("cut"))).alias("train_cut"),
-            F.max(F.when(F.col("name") == VAL, F.col("cut"))).alias("val_cut"),
-        )
+    found = hash_cuts(labelled, targets, strata=["label"], seed=seed, digits=digits)
+    cuts = {(r["label"], r["name"]): r["cut"] for r in found.collect()}
+    key = found.schema["cut"].dataType.simpleString()
+    return spark.createDataFrame(
+        [(label, cuts.get((label, TRAIN)), cuts.get((label, VAL))) for label in quotas],
+        f"label STRING, train_cut {key}, val_cut {key}",
     )
 
 
 def apply_cuts(df: DataFrame, cuts: DataFrame, *, seed: int = SEED) -> DataFrame:
     """Add ``split`` to any table with ``id`` and ``label`` by comparing each row with the cuts.
 
-    A map over the rows where they lie, whatever else they carry: no join on ids.
+    A map over the rows where they lie, whatever else they carry: no join on ids.  Rows with
+    a label that the cuts do not know keep a null ``split``.
     """
     split = (
         F.when(within(F.col("_key"), F.col("train_cut")), TRAIN)
         .when(within(F.col("_key"), F.col("val_cut")), VAL)
-        .otherwise(TEST)
+        .when(F.col("_known"), TEST)
     )
-    keyed = with_hash_key(df, "id", seed).join(F.broadcast(cuts), "label", "left")
+    # One row per label.
+    rule = F.broadcast(cuts.withColumn("_known", F.lit(True)))
+    keyed = with_hash_key(df, "id", seed).join(rule, "label", "left")
     return keyed.select(*df.columns, split.alias("split"))
 
 

@@ -80,7 +80,8 @@ def read_csv_folder(
     by_header: dict[tuple[str, ...], list[str]] = {}
     for path in list_files(spark, folder, *globs):
         header = tuple(_csv(spark, multiline).csv(path).columns)
-        by_header.setdefault(header, []).append(path)
+        if header:  # an empty file has none
+            by_header.setdefault(header, []).append(path)
     tables = []
     for header, paths in by_header.items():
         schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
