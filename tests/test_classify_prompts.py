@@ -118,6 +118,8 @@ def test_training_records(spark):
     )
     everything = training.training_records(corpus, vectors)
     assert everything.count() == 80
+    with pytest.raises(ValueError, match="40 corpus rows met 39 vectors"):
+        training.training_records(corpus, vectors.filter("id <> 7"))
     balanced = training.training_records(corpus, vectors, balanced=True)
     counts = rows(balanced.filter("split = 'train'").groupBy("variant", "output").count())
     assert [n for *_, n in counts] == [5, 5, 5, 5]

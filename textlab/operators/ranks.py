@@ -26,8 +26,25 @@ def with_hash_key(df: DataFrame, id_col: str, seed: int) -> DataFrame:
     return df.withColumn("_key", key)
 
 
+def _keyed(df: DataFrame, strata: Sequence[str], id_col: str, seed: int, digits: int) -> DataFrame:
+    keyed = with_hash_key(df.select(*strata, id_col), id_col, seed)
+    return keyed.withColumn("_prefix", F.substring("_key.h", 1, digits))
+
+
+def prefix_counts(
+    df: DataFrame, *, strata: Sequence[str], id_col: str = "id", seed: int, digits: int = PREFIX_DIGITS
+) -> DataFrame:
+    """Rows per stratum and hash prefix, stored: at most 16**digits rows per stratum.
+
+    One read of the table answers both how large the strata are and where a rank falls.
+    """
+    keyed = _keyed(df, strata, id_col, seed, digits)
+    return materialize(keyed.groupBy(*strata, "_prefix").agg(F.count("*").alias("_count")), "counts")
+
+
 def hash_cuts(
     df: DataFrame,
+    counts: DataFrame,
     targets: DataFrame,
     *,
     strata: Sequence[str],
@@ -37,29 +54,24 @@ def hash_cuts(
 ) -> DataFrame:
     """The key of the n-th row, in seeded order, of each stratum.
 
-    ``targets`` has the strata columns, ``name`` and ``n``; it is a report-sized table
-    (one row per stratum and name).  The result has ``cut`` in place of ``n``.  A target
-    beyond the stratum's size gives its last key, a target of zero gives no row.
+    ``counts`` is the table's :func:`prefix_counts`.  ``targets`` has the strata columns,
+    ``name`` and ``n``; it is a report-sized table (one row per stratum and name).  The
+    result has ``cut`` in place of ``n``.  A target beyond the stratum's size gives its last
+    key, a target of zero gives no row.
     """
     strata = list(strata)
-    keyed = with_hash_key(df.select(*strata, id_col), id_col, seed).withColumn(
-        "_prefix", F.substring("_key.h", 1, digits)
-    )
     by_prefix = Window.partitionBy(*strata).orderBy("_prefix")
-    counts = (
-        keyed.groupBy(*strata, "_prefix")
-        .agg(F.count("*").alias("_count"))
-        .withColumn("_upto", F.sum("_count").over(by_prefix))
-        .withColumn("_size", F.sum("_count").over(Window.partitionBy(*strata)))
+    placed = counts.withColumn("_upto", F.sum("_count").over(by_prefix)).withColumn(
+        "_size", F.sum("_count").over(Window.partitionBy(*strata))
     )
     wanted = F.least(F.col("n"), F.col("_size"))
     before = F.col("_upto") - F.col("_count")
-    pairs = counts.join(F.broadcast(targets), strata) if strata else _pair_all(counts, targets)
+    pairs = placed.join(F.broadcast(targets), strata) if strata else _pair_all(placed, targets)
     holding = pairs.filter((before < wanted) & (wanted <= F.col("_upto"))).select(
         *strata, "name", "_prefix", (wanted - before).alias("_nth")
     )
     # At most one row per target, whatever the size of the table.
-    candidates = keyed.join(F.broadcast(holding), [*strata, "_prefix"])
+    candidates = _keyed(df, strata, id_col, seed, digits).join(F.broadcast(holding), [*strata, "_prefix"])
     order = Window.partitionBy(*strata, "name").orderBy("_key")
     return (
         candidates.withColumn("_rank", F.row_number().over(order))
@@ -68,14 +80,6 @@ def hash_cuts(
     )
 
 
-def fixed(cuts: DataFrame) -> DataFrame:
-    """Run the search for cuts now and keep the handful of rows it gives.
-
-    A plan that uses them afterwards neither repeats the search nor waits for it.
-    """
-    return cuts.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
-
-
 def _pair_all(counts: DataFrame, targets: DataFrame) -> DataFrame:
     """Without strata every prefix count meets every target: both tables are report-sized."""
     listed = targets.agg(F.collect_list(F.struct("name", "n")).alias("t"))

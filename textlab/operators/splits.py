@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textlab.functions.text import has_words
-from textlab.operators.ranks import PREFIX_DIGITS, hash_cuts, with_hash_key, within
+from textlab.operators.ranks import PREFIX_DIGITS, hash_cuts, prefix_counts, with_hash_key, within
 
 # Split names, shares and seed.
 TRAIN, VAL, TEST = "train", "val", "test"
@@ -64,13 +64,15 @@ def split_cuts(
 ) -> DataFrame:
     """The whole split as a rule: one row per label with the last key of train and of val.
 
-    Runs now.  Reads the label column (quotas) and the id and label columns twice (counts
-    per prefix, cut keys) and shuffles counts only; give it a stored columnar table.
+    Runs now.  Reads the id and label columns twice (counts per prefix, cut keys) and
+    shuffles counts only; give it a stored columnar table.
     """
     spark = corpus.sparkSession
     labelled = corpus.filter(F.col("label").isNotNull())
+    how = {"strata": ["label"], "seed": seed, "digits": digits}
+    counts = prefix_counts(labelled, **how)
     # One row per label.
-    sizes = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["label"]: r["n"] for r in counts.groupBy("label").agg(F.sum("_count").alias("n")).collect()}
     quotas = split_quotas(sizes, held_out, test_of_held_out)
     targets = spark.createDataFrame(
         [
@@ -80,7 +82,7 @@ def split_cuts(
         ],
         "label STRING, name STRING, n BIGINT",
     )
-    found = hash_cuts(labelled, targets, strata=["label"], seed=seed, digits=digits)
+    found = hash_cuts(labelled, counts, targets, **how)
     cuts = {(r["label"], r["name"]): r["cut"] for r in found.collect()}
     key = found.schema["cut"].dataType.simpleString()
     return spark.createDataFrame(
