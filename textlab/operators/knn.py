@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Size of one block (as doubles) on either side of a grid cell.
 BLOCK_BYTES = 64 * 1024 * 1024
+# Most tasks a grid is dealt out to.
+MAX_TASKS = 20_000
 # Scores held at once while a block pair is worked off.
 SCORE_BYTES = 64 * 1024 * 1024
 # Vectors rescored at once in double precision.
@@ -211,6 +213,7 @@ def grid(
     queries: DataFrame,
     train: DataFrame,
     k: int,
+    pairs: int,
     *,
     query_id: str,
     train_id: str,
@@ -220,9 +223,13 @@ def grid(
 ) -> DataFrame:
     """Score queries against the candidates of the same ``_cell``, block pair by block pair.
 
-    Either side also has ``q_blocks`` and ``t_blocks``, the cell's number of blocks.  Gives
-    the top k of each block pair as ``qid, tid, score, *carry``.
+    Either side also has ``q_blocks`` and ``t_blocks``, the cell's number of blocks; ``pairs``
+    is the number of block pairs in all.  Gives the top k of each block pair as ``qid, tid,
+    score, *carry``.
     """
+    # The work is in the pairs and not in the bytes, so their number decides how many tasks
+    # there are; twice as many leaves few tasks with several pairs.
+    tasks = min(2 * pairs, MAX_TASKS)
 
     def laid_out(df, key, extra, own, own_blocks, other, other_blocks):
         # Ids are unique, so a hash of the id gives even blocks whatever the data looks like.
@@ -233,7 +240,9 @@ def grid(
             F.pmod(F.xxhash64(key), F.col(own_blocks)).cast("int").alias(own),
             F.explode(F.sequence(F.lit(0), F.col(other_blocks) - 1)).alias(other),
             *columns,
-        )
+        ).repartition(tasks, *keys)
+
+    keys = ("_cell", "_qb", "_tb")
 
     q = laid_out(queries, query_id, [], "_qb", "q_blocks", "_tb", "t_blocks")
     t = laid_out(train, train_id, carry, "_tb", "t_blocks", "_qb", "q_blocks")
@@ -254,7 +263,6 @@ def grid(
         kinds += [right.schema.field(c).type for c in carry]
         return pa.table([pa.array([], type=kind) for kind in kinds], names=arrow_names)
 
-    keys = ("_cell", "_qb", "_tb")
     return q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInArrow(score, schema)
 
 
@@ -274,6 +282,7 @@ def _knn_block(queries, train, k, query_id, train_id, vector, exclude_self, carr
         queries.withColumns(one_cell),
         train.withColumns(one_cell),
         k,
+        q_blocks * t_blocks,
         query_id=query_id,
         train_id=train_id,
         vector=vector,

@@ -161,12 +161,10 @@ def knn_pruned(queries, train, k, query_id, train_id, vector, exclude_self, carr
     def one_pass(asking: DataFrame, bar: str | None) -> DataFrame:
         routed = route(asking, query_id, vector, cells, enough, bar)
         asked = routed.groupBy("_cell").agg(F.count("*").alias("n")).collect()
-        sizes = spark.createDataFrame(
-            [(r["_cell"], -(-r["n"] // rows), -(-held[r["_cell"]] // rows)) for r in asked],
-            "_cell INT, q_blocks INT, t_blocks INT",
-        )
+        blocks = [(r["_cell"], -(-r["n"] // rows), -(-held[r["_cell"]] // rows)) for r in asked]
+        sizes = spark.createDataFrame(blocks, "_cell INT, q_blocks INT, t_blocks INT")
         sized = (df.join(F.broadcast(sizes), "_cell") for df in (routed, located))
-        return grid(*sized, k, **names)
+        return grid(*sized, k, max(1, sum(q * t for _, q, t in blocks)), **names)
 
     first = materialize(merge_top_k(one_pass(queries, None), k).drop("rank"), "first")
     bars = first.groupBy(F.col("qid").alias(query_id)).agg(

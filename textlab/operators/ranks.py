@@ -13,12 +13,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textlab.functions.text import seeded_hash
-from textlab.storage import materialize, scratch_path
+from textlab.storage import materialize, scratch_path, stored_bytes
 
 # Hex digits that form a counting prefix: 16**4 = 65,536 prefixes per stratum, so the one
 # that has to be sorted holds about 1/65,536 of its stratum.
 PREFIX_DIGITS = 4
 
+# Compressed input per range of a range sort: no less than the first while there are fewer
+# ranges than shuffle partitions, no more than the second in any case.
+SMALL_RANGE_BYTES = 4 * 1024 * 1024
+RANGE_BYTES = 256 * 1024 * 1024
+
 
 def with_hash_key(df: DataFrame, id_col: str, seed: int) -> DataFrame:
     """Add ``_key``: the row's place in the seeded order, ties impossible as ids are unique."""
@@ -121,7 +126,6 @@ def dense_ids(
     df: DataFrame,
     order_by: Sequence[str | Column] | None = None,
     id_col: str = "id",
-    staged: bool = True,
 ) -> DataFrame:
     """Number the rows 0, 1, 2, ... in the order of a unique sort key.
 
@@ -130,13 +134,23 @@ def dense_ids(
     With ``order_by=None`` they keep the order of the input's partitions, without any
     shuffle.  The copy lies in the shared folder, so every later read sees the same ids.
 
-    A range sort runs its input twice, once to sample the key.  ``staged`` writes the input
-    down first, so that costly expressions in it run once; pass False for a stored table.
+    A range sort runs its input twice, once to sample the key, so the input is written down
+    first; the size of that copy decides into how many ranges it is sorted.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "ordered")
     if order_by is not None:
-        df = (materialize(df, "staged") if staged else df).orderBy(*order_by)
+        staged = scratch_path(spark, "staged")
+        df.write.parquet(staged)
+        size = stored_bytes(spark, staged)
+        usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ranges = max(1, min(usual, size // SMALL_RANGE_BYTES), size // RANGE_BYTES)
+        df = (
+            spark.read.schema(df.schema)
+            .parquet(staged)
+            .repartitionByRange(ranges, *order_by)
+            .sortWithinPartitions(*order_by)
+        )
     df.write.parquet(path)
     stored = (
         spark.read.schema(df.schema)

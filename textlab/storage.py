@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -23,6 +23,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Size of the files in a folder, from their listing."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return int(files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0])
+
+
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once and return a reader of the copy.
 
