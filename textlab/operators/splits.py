@@ -21,6 +21,10 @@ HOLDOUT_MODEL = "chatgpt"
 HOLDOUT_PLATFORM = "qa_forum"
 SHORT_TEXT_WORDS = 100
 
+# Scenario names; the two hold-outs are followed by the held-out value.
+STANDARD, SHORT_TEXT, ADVERSARIAL = "standard", "short_text", "adversarial_raid"
+CROSS_MODEL, CROSS_PLATFORM = "cross_model_", "cross_platform_"
+
 
 def _largest_remainder(sizes: Mapping[str, int], draw: int) -> dict[str, int]:
     """Share ``draw`` units in proportion to ``sizes``.
@@ -160,15 +164,15 @@ def scenarios(
     is_test = F.col("split") == TEST
     short = ~has_words(F.col("text"), short_words)
     member = F.array(
-        F.when(is_test, F.lit("standard")),
-        F.when(F.col("source_model") == model, F.lit(f"cross_model_{model}")),
-        F.when(F.col("platform") == platform, F.lit(f"cross_platform_{platform}")),
-        F.when(is_test & short, F.lit("short_text")),
+        F.when(is_test, F.lit(STANDARD)),
+        F.when(F.col("source_model") == model, F.lit(CROSS_MODEL + model)),
+        F.when(F.col("platform") == platform, F.lit(CROSS_PLATFORM + platform)),
+        F.when(is_test & short, F.lit(SHORT_TEXT)),
     )
     rows = corpus_with_split.select(F.explode(F.array_compact(member)).alias("scenario"), "id", "label")
     if adversarial is None:
         return rows
-    return rows.unionByName(adversarial.select(F.lit("adversarial_raid").alias("scenario"), "id", "label"))
+    return rows.unionByName(adversarial.select(F.lit(ADVERSARIAL).alias("scenario"), "id", "label"))
 
 
 def reduced_splits(
@@ -180,8 +184,8 @@ def reduced_splits(
         return ~F.coalesce(F.col(column) == value, F.lit(False))
 
     member = F.array(
-        F.when(kept("source_model", model), F.lit(f"cross_model_{model}")),
-        F.when(kept("platform", platform), F.lit(f"cross_platform_{platform}")),
+        F.when(kept("source_model", model), F.lit(CROSS_MODEL + model)),
+        F.when(kept("platform", platform), F.lit(CROSS_PLATFORM + platform)),
     )
     rows = in_split(corpus_with_split, TRAIN, VAL)
     return rows.select(F.explode(F.array_compact(member)).alias("scenario"), "id", "split")
