@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textlab.llm import contamination, minmax, packing, recipes, records, resampling
+from textlab.llm import contamination, minmax, packing, recipes, records, repeats, resampling, toxicity
 from textlab.storage import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,20 @@ def op2_token_records(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query()
+def op3_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """What remains of whole texts when strings of 100 bytes that start earlier are removed."""
+    found = repeats.remove_repeats(table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["last"] - s["first"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query()
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Whole texts packed into sequences of 1024 ids."""
@@ -112,6 +126,13 @@ def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return minmax.near_duplicates(table(spark, folder, "documents"))
 
 
+@query()
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity scores of all documents, learned from the labels that are not held out."""
+    docs = table(spark, folder, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, folder, "labels")))
+
+
 EXACT_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
