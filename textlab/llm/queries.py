@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textlab.llm import contamination, minmax, packing, recipes, records, repeats, resampling, toxicity
+from textlab.llm import contamination, minmax, packing, pii, recipes, records, repeats, resampling, toxicity
 from textlab.storage import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,19 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query()
+def op1_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in whole texts: strict patterns, and what their contexts give away."""
+    found = pii.find_personal_data(table(spark, folder, "documents"))
+    count = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("bigint")
+    return found.select(
+        "doc_id",
+        *[count(i).alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)],
+        F.sha2(pii.span_list("base"), 256).alias("base_sha256"),
+        pii.span_list("found").alias("spans"),
+    )
+
+
 @query()
 def op2_token_records(spark: SparkSession, folder: str) -> DataFrame:
     """Whole texts as records of token ids, read back from the files."""
