@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textlab.llm import contamination, minmax, packing, pii, recipes, records, repeats, resampling, toxicity
+from textlab.llm import contamination, minmax, packing, pii, recipes, records, repeats, resampling, toxicity, wrappers
 from textlab.storage import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,6 +133,13 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query()
+def op6_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    found = wrappers.extract_main_text(table(spark, folder, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 @query()
 def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of documents linked at 85 % of shared word shingles."""
