@@ -30,8 +30,8 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-# Words with a digit or an at sign.
-_CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+# Words with a digit, an at sign or a written one.
+_CANDIDATE = r"(?<!\S)(?:(?![(\[][aA][tT][)\]])[^\s0-9@])*+(?:[0-9@]|[(\[][aA][tT][)\]])\S*+"
 _CANDIDATE_LENGTHS = (6, 64)
 
 #: Rounds of scoring; identifiers that a pattern must be seen with, and its least share of

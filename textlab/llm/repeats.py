@@ -220,7 +220,9 @@ def column_order(strings: list[bytes], length: int) -> Iterator[tuple[int, np.nd
 def _without(common: np.ndarray, keep: np.ndarray) -> np.ndarray:
     """Common prefixes of the neighbours that remain when some leave."""
     places = np.flatnonzero(keep)
-    return np.minimum.reduceat(common, np.concatenate(([0], places[:-1] + 1))) if len(places) else common[:0]
+    if not len(places):
+        return common[:0]
+    return np.minimum.reduceat(common[: places[-1] + 1], np.concatenate(([0], places[:-1] + 1)))
 
 
 def _range_minimum(common: np.ndarray, move: np.ndarray) -> np.ndarray:

@@ -31,10 +31,12 @@ MAX_LABELLED = 10_000
 MAX_FEATURES = 1_024
 #: A feature must occur in so many labelled documents.
 LEAST_DOCUMENTS = 4
+#: A feature's share of toxic texts must be so many standard errors from the share of all.
+LEAST_GAP = 3.0
 #: Lengths of word beginnings that are features, besides whole words.
 BEGINNINGS = (4, 5, 6, 7)
 #: Strength of the counterfactual penalty, per labelled sentence and swap, and of the plain one.
-COUNTERFACTUAL = 1.0
+COUNTERFACTUAL = 4.0
 RIDGE = 0.5
 #: Score from which a text is predicted to be toxic.
 THRESHOLD = 0.3
@@ -210,7 +212,7 @@ def train(
     # How far a feature's share of toxic texts is from the share of all, in standard errors.
     share = toxic / total
     gap = F.abs(F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    best = seen.orderBy(gap.desc(), "feature").limit(max_features).collect()
+    best = seen.filter(gap >= LEAST_GAP).orderBy(gap.desc(), "feature").limit(max_features).collect()
     vocabulary = sorted({r[0] for r in best} | _TERMS)
     plain = Model(vocabulary, np.zeros(len(vocabulary)), 0.0)
 
