@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from textlab.operators.knn import knn_join
 
 # How many neighbours the self-match check looks at, and the similarity it asks for.
-SELF_MATCH_K = 5
+SELF_MATCH_K = 1
 SELF_MATCH_SCORE = 0.99
 
 

@@ -49,39 +49,61 @@ def knn_vote(queries: DataFrame, neighbours: DataFrame, query_id: str = "id", la
     )
 
 
-def knn_evidence(neighbours: DataFrame, label: str = "label") -> DataFrame:
-    """Verdict, confidence and the neighbours behind it, at most k per query."""
-    ai_votes, total = F.col("ai_votes"), F.col("total_votes")
+def _for_each(found: DataFrame, queries: DataFrame | None, query_id: str) -> DataFrame:
+    """Results by ``qid``, with a row of nulls for queries that have none."""
+    if queries is None:
+        return found
+    return queries.select(F.col(query_id).alias("qid")).join(found, "qid", "left")
+
+
+def knn_evidence(
+    neighbours: DataFrame, label: str = "label", queries: DataFrame | None = None, query_id: str = "id"
+) -> DataFrame:
+    """Verdict, confidence and the neighbours behind it, at most k per query.
+
+    Given ``queries``, those without any neighbour are there too: ai with confidence 0.5 and
+    no evidence.
+    """
+    ai_votes = F.coalesce(F.col("ai_votes"), F.lit(0))
+    total = F.coalesce(F.col("total_votes"), F.lit(0))
     item = F.struct("rank", "tid", F.col("score").alias("score"), F.col(label).alias("label"))
     summary = F.concat(
         total.cast("string"), F.lit(" similar texts found, "), ai_votes.cast("string"), F.lit(" were AI-generated")
     )
+    votes = neighbours.groupBy("qid").agg(
+        F.sum(is_ai(F.col(label)).cast("bigint")).alias("ai_votes"),
+        F.count("*").alias("total_votes"),
+        F.array_sort(F.collect_list(item)).alias("evidence"),
+    )
+    none = F.array().cast(votes.schema["evidence"].dataType)
     return (
-        neighbours.groupBy("qid")
-        .agg(
-            F.sum(is_ai(F.col(label)).cast("bigint")).alias("ai_votes"),
-            F.count("*").alias("total_votes"),
-            F.array_sort(F.collect_list(item)).alias("evidence"),
-        )
+        _for_each(votes, queries, query_id)
         .select(
             "qid",
             F.when(_verdict(ai_votes, total) == AI, "AI-generated").otherwise("Human-written").alias("verdict"),
             _confidence(ai_votes, total).alias("confidence"),
             summary.alias("summary"),
-            "evidence",
+            F.coalesce("evidence", none).alias("evidence"),
         )
     )
 
 
-def knn_attribution(neighbours: DataFrame, source: str = "source_model") -> DataFrame:
-    """The neighbours' most common generator: ``qid, source_model, n``; ties by name."""
+def knn_attribution(
+    neighbours: DataFrame,
+    source: str = "source_model",
+    queries: DataFrame | None = None,
+    query_id: str = "id",
+) -> DataFrame:
+    """The neighbours' most common generator: ``qid, source_model, n``; ties by name.
+
+    Given ``queries``, those without any neighbour have a null generator and 0.
+    """
     counts = neighbours.groupBy("qid", F.coalesce(F.col(source), F.lit(UNKNOWN_SOURCE)).alias("source_model")).agg(
         F.count("*").alias("n")
     )
     best = Window.partitionBy("qid").orderBy(F.desc("n"), "source_model")
-    return (
-        counts.withColumn("_place", F.row_number().over(best)).filter(F.col("_place") == 1).drop("_place")
-    )
+    found = counts.withColumn("_place", F.row_number().over(best)).filter(F.col("_place") == 1).drop("_place")
+    return _for_each(found, queries, query_id).withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def random_baseline(records: DataFrame, seed: int = 42) -> DataFrame:

@@ -143,6 +143,12 @@ def vector_shape(df: DataFrame, vector: str) -> tuple[int, int]:
     return int(row["n"]), int(row["d"] or 0)
 
 
+def carried_bytes(df: DataFrame, columns: Sequence[str]) -> int:
+    """Size of the values of some columns, as text."""
+    sizes = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in columns]
+    return int(df.agg(F.coalesce(F.sum(sum(sizes[1:], sizes[0]).cast("bigint")), F.lit(0))).first()[0])
+
+
 def _result_schema(queries: DataFrame, train: DataFrame, query_id: str, train_id: str, carry: Sequence[str]):
     fields = [
         T.StructField("qid", queries.schema[query_id].dataType),
@@ -314,6 +320,10 @@ def knn_join(
     passing the training split there is what keeps held-out rows out of every result.
     ``carry`` takes small candidate columns (a label, a model name) along and saves a join.
 
+    A candidate table is only shipped to the tasks if vectors and carried columns together
+    are within ``broadcast_bytes``; beyond that ``"broadcast"`` too takes the block form, which
+    gives the same rows.  ``"auto"`` never takes ``"pruned"``, which pays on clustered vectors.
+
     Measuring ``train`` (and in the block form ``queries``) is a job of its own; give
     stored tables.  Ids are whole numbers, unique on either side.
     """
@@ -321,8 +331,8 @@ def knn_join(
         raise ValueError(f"unknown strategy: {strategy}")
     shape = vector_shape(train, vector)
     fits = shape[0] * shape[1] * 8 <= broadcast_bytes
-    if strategy == "broadcast" and not fits:
-        raise ValueError("candidate table is larger than broadcast_bytes; use the block strategy")
+    if fits and carry and strategy in ("auto", "broadcast"):
+        fits = shape[0] * shape[1] * 8 + carried_bytes(train, carry) <= broadcast_bytes
     columns = (queries, train, k, query_id, train_id, vector, exclude_self, list(carry))
     if strategy == "pruned":
         from textlab.operators.knn_pruned import knn_pruned

@@ -22,19 +22,25 @@ from textlab.storage import materialize
 FPR = 0.01
 DIGITS = 4
 
-# A histogram up to this many rows is summed in one level.
+# A histogram up to this many rows is summed in one level; beyond, there is a slab for each
+# so many rows, within these bounds.
 SMALL = 1_000_000
-SLABS = 256
+LEAST_SLABS, MOST_SLABS = 256, 10_000
 
 _COUNTS = ("pos", "neg", "tp", "fp")
 
 
 def score_histogram(predictions: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
-    """``*groups, score, pos, neg, tp, fp`` from ``label, prediction, confidence``."""
+    """``*groups, score, pos, neg, tp, fp`` from ``label, prediction, confidence``.
+
+    A prediction without a confidence has no place among the scores and is an error.
+    """
     truth = is_ai(F.col("label")).cast("bigint")
     said = is_ai(F.col("prediction")).cast("bigint")
+    missing = F.raise_error(F.lit("a prediction has no confidence")).cast("double")
+    score = F.coalesce(F.col("confidence").cast("double"), missing)
     rows = predictions.select(
-        *groups, F.col("confidence").cast("double").alias("score"), truth.alias("_y"), said.alias("_p")
+        *groups, score.alias("score"), truth.alias("_y"), said.alias("_p")
     )
     return rows.groupBy(*groups, "score").agg(
         F.sum("_y").alias("pos"),
@@ -48,7 +54,8 @@ def _cumulative(histogram: DataFrame, groups: Sequence[str], small: int) -> Data
     """Add ``cum_pos, cum_neg`` (rows at this score or higher) and ``n_pos, n_neg`` per group."""
     groups = list(groups)
     whole = Window.partitionBy(*groups)
-    if histogram.count() <= small:
+    rows = histogram.count()
+    if rows <= small:
         down = whole.orderBy(F.desc("score"))
         return histogram.select(
             "*",
@@ -57,11 +64,12 @@ def _cumulative(histogram: DataFrame, groups: Sequence[str], small: int) -> Data
             F.sum("pos").over(whole).alias("n_pos"),
             F.sum("neg").over(whole).alias("n_neg"),
         )
-    steps = [i / SLABS for i in range(1, SLABS)]
-    borders = histogram.agg(F.percentile_approx("score", steps, 10 * SLABS)).first()[0]
+    slabs = min(MOST_SLABS, max(LEAST_SLABS, rows // SMALL))
+    steps = [i / slabs for i in range(1, slabs)]
+    borders = histogram.agg(F.percentile_approx("score", steps, 10 * slabs)).first()[0]
     slab = F.size(F.filter(F.lit(borders), lambda border: border < F.col("score")))
     slabbed = histogram.withColumn("_slab", slab)
-    # At most SLABS rows per group.
+    # A row per slab and group.
     totals = slabbed.groupBy(*groups, "_slab").agg(F.sum("pos").alias("_sp"), F.sum("neg").alias("_sn"))
     above = whole.orderBy(F.desc("_slab"))
     offsets = totals.select(
@@ -73,10 +81,15 @@ def _cumulative(histogram: DataFrame, groups: Sequence[str], small: int) -> Data
         F.sum("_sn").over(whole).alias("n_neg"),
     )
     inside = Window.partitionBy(*groups, "_slab").orderBy(F.desc("score"))
+    # A null group is a group like any other.
+    keys = [*groups, "_slab"]
+    offsets = offsets.withColumnsRenamed({c: f"_o_{c}" for c in keys})
+    same = [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in keys]
     return (
         slabbed.withColumn("_ip", F.sum("pos").over(inside))
         .withColumn("_in", F.sum("neg").over(inside))
-        .join(offsets, [*groups, "_slab"])
+        .join(offsets, same)
+        .drop(*[f"_o_{c}" for c in keys])
         .withColumn("cum_pos", F.col("_op") + F.col("_ip"))
         .withColumn("cum_neg", F.col("_on") + F.col("_in"))
         .drop("_slab", "_ip", "_in", "_op", "_on")

@@ -112,13 +112,16 @@ def hash_rank(
         .agg(F.count("*").alias("_count"))
         .withColumn("_before", F.sum("_count").over(by_prefix) - F.col("_count"))
         .drop("_count")
+        .withColumnsRenamed({c: f"_o_{c}" for c in [*strata, "_prefix"]})
     )
+    # A null stratum is a stratum like any other.
+    same = [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in [*strata, "_prefix"]]
     inside = Window.partitionBy(*strata, "_prefix").orderBy("_key")
     return (
         keyed.withColumn("_place", F.row_number().over(inside))
-        .join(offsets, [*strata, "_prefix"])
+        .join(offsets, same)
         .withColumn("rank", F.col("_before") + F.col("_place"))
-        .drop("_key", "_prefix", "_place", "_before")
+        .drop("_key", "_prefix", "_place", "_before", *[f"_o_{c}" for c in [*strata, "_prefix"]])
     )
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Mapping
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -37,7 +40,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     ``keys`` identify a row; hashing them gives the same tasks again after a failure.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+    # Files that can be split are more partitions than files already.
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
 def _is_missing(error: AnalysisException) -> bool:
@@ -53,7 +57,25 @@ def list_files(spark: SparkSession, folder: str, *globs: str) -> list[str]:
         except AnalysisException as error:
             if not _is_missing(error):
                 raise
-    return sorted(found)
+    # Spark lists encoded names, and reads names as patterns.
+    return sorted(unquote(name) for name in found)
+
+
+def literal(path: str) -> str:
+    """A path that stands for itself where a pattern may stand."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
+def header_names(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Column names of a CSV file; of names that differ only in case, later ones get a number."""
+    line = spark.read.text(literal(path)).head()
+    seen: dict[str, int] = {}
+    names = []
+    for i, name in enumerate(next(csv.reader([line[0].lstrip("\ufeff")])) if line else ()):
+        name = name or f"_c{i}"
+        again = seen[name.lower()] = seen.get(name.lower(), 0) + 1
+        names.append(name if again == 1 else f"{name}__{again}")
+    return tuple(names)
 
 
 def _csv(spark: SparkSession, multiline: bool):
@@ -79,9 +101,9 @@ def read_csv_folder(
     """
     by_header: dict[tuple[str, ...], list[str]] = {}
     for path in list_files(spark, folder, *globs):
-        header = tuple(_csv(spark, multiline).csv(path).columns)
+        header = header_names(spark, path)
         if header:  # an empty file has none
-            by_header.setdefault(header, []).append(path)
+            by_header.setdefault(header, []).append(literal(path))
     tables = []
     for header, paths in by_header.items():
         schema = T.StructType([T.StructField(name, T.StringType()) for name in header])

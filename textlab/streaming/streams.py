@@ -6,18 +6,16 @@ ends; the checkpoint makes the next run take only what is new.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from textlab.functions.labels import AI, HUMAN
 from textlab.operators.classify import knn_vote
 from textlab.operators.embed import Embedder, embed
-from textlab.operators.knn import BROADCAST_BYTES, Candidates, _matrix, knn_join, vector_shape
+from textlab.operators.knn import BROADCAST_BYTES, knn_join
 from textlab.operators.normalize import accepted, align_social
+from textlab.storage import materialize
 
 NOW = {"availableNow": True}
 
@@ -53,35 +51,6 @@ def stream_embed(
     return _to_parquet(embed(rows, embedder, **options), path, checkpoint, trigger)
 
 
-def _vote_in_place(queries: DataFrame, train: DataFrame, k: int, vector: str) -> DataFrame:
-    """Neighbour vote against a candidate table small enough to ship; the caller checked its size."""
-    table = train.select("id", "label", vector).toArrow()
-    index = Candidates(table.column("id").to_numpy(), _matrix(table.column(vector)), k)
-    says_ai = np.array([label == AI for label in table.column("label").to_pylist()])[index.rows]
-    shipped = train.sparkSession.sparkContext.broadcast((vars(index), says_ai))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays, is_ai = shipped.value
-        found = Candidates.restore(arrays)
-        for batch in batches:
-            n = batch.num_rows
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            ai, total = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-            for q, c, _ in found.search(ids, _matrix(batch.column(vector)), k, exclude_self=False):
-                ai += np.bincount(q, weights=is_ai[c], minlength=n).astype(np.int64)
-                total += np.bincount(q, minlength=n)
-            confidence = np.divide(ai, total, out=np.full(n, 0.5), where=total > 0)
-            verdict = np.where(ai >= total - ai, AI, HUMAN)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(ai), pa.array(total), pa.array(verdict), pa.array(confidence)],
-                names=["id", "ai_votes", "total_votes", "prediction", "confidence"],
-            )
-
-    kind = queries.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, ai_votes BIGINT, total_votes BIGINT, prediction STRING, confidence DOUBLE"
-    return queries.select("id", vector).mapInArrow(score, schema)
-
-
 def stream_score(
     queries: DataFrame,
     train: DataFrame,
@@ -95,17 +64,19 @@ def stream_score(
 ) -> StreamingQuery:
     """Classify arriving ``id, embedding`` rows by a vote of a fixed labelled table.
 
-    A candidate table within ``broadcast_bytes`` makes this a stateless map.  A larger one
-    is joined per micro-batch; a batch that is repeated after a failure overwrites its own
-    folder, so its rows are there once.
+    Every micro-batch writes the folder ``batch_id=N`` of ``path``, so the layout and the
+    columns (``batch_id`` among them) are the same whatever the size of ``train``, which may
+    grow between two runs on one checkpoint.  A batch that is repeated after a failure
+    overwrites its own folder, so its rows are there once.
+
+    A micro-batch is stored once, as the search reads it several times: what stands upstream
+    (an embedder, say) runs once for each row.
     """
-    n, dims = vector_shape(train, vector)
-    if n * dims * 8 <= broadcast_bytes:
-        return _to_parquet(_vote_in_place(queries, train, k, vector), path, checkpoint, trigger)
 
     def score(batch: DataFrame, batch_id: int) -> None:
-        neighbours = knn_join(batch, train, k, vector=vector, carry=["label"], broadcast_bytes=broadcast_bytes)
-        knn_vote(batch, neighbours).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        stored = materialize(batch.select("id", vector), "arrived")
+        neighbours = knn_join(stored, train, k, vector=vector, carry=["label"], broadcast_bytes=broadcast_bytes)
+        knn_vote(stored, neighbours).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return (
         queries.writeStream.foreachBatch(score)
