@@ -145,8 +145,9 @@ def fit_weights(
     """Newton's method on the penalised logistic loss.
 
     ``rows``, ``columns`` and ``values`` say how often which document has which feature of the
-    vocabulary, ``mentions`` in how many labelled sentences an identity term stands.  A swap changes the
-    logit by the difference of two weights, so the penalty is quadratic in them.
+    vocabulary, ``mentions`` in how many labelled sentences an identity term stands.  A swap
+    takes the features of one term away and adds those of another, so the change of the logit
+    is linear in the weights, and its square a quadratic penalty.
     """
     n = len(vocabulary)
     x = np.zeros((len(labels), n + 1), np.float32)
@@ -154,16 +155,18 @@ def fit_weights(
     x[:, n] = 1
     at = {w: i for i, w in enumerate(vocabulary)}
     penalty = np.diag(np.append(np.full(n, ridge), 1e-6))
+    change = {t: np.array([at[f] for f in features_of(t) if f in at]) for t in _TERMS}
     for terms in IDENTITY_TERMS.values():
         for term in (t for t in terms if mentions.get(t)):
-            i, strength = at[term], counterfactual * mentions[term]
-            others = [at[t] for t in terms if t != term and t in at]
-            for j in others:
-                penalty[i, i] += strength / len(others)
-                penalty[j, j] += strength / len(others)
-                penalty[i, j] -= strength / len(others)
-                penalty[j, i] -= strength / len(others)
-            penalty[i, i] += strength  # the sentence without the term
+            strength = counterfactual * mentions[term]
+            for other in (None, *(t for t in terms if t != term)):  # none: the sentence without the term
+                swap = np.zeros(n + 1)
+                swap[change[term]] += 1
+                if other:
+                    swap[change[other]] -= 1
+                used = np.flatnonzero(swap)
+                share = 1.0 if other is None else 1 / (len(terms) - 1)
+                penalty[np.ix_(used, used)] += strength * share * np.outer(swap[used], swap[used])
     w = np.zeros(n + 1)
     share = np.clip(labels.mean(), 1e-4, 1 - 1e-4) if len(labels) else 0.5
     w[n] = np.log(share / (1 - share))
