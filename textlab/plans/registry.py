@@ -664,17 +664,18 @@ def knn_attribution(spark, folder):
 
 
 def prompt_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Split corpus and vectors of the documents that have a vector."""
-    vectors = vectors_view(spark, folder)
+    """Split corpus and vectors of all documents; there are fewer vectors, which are dealt out in turn."""
+    given = vectors_view(spark, folder).withColumnRenamed("id", "_vector")
     texts = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
-    corpus = texts.join(vectors.select("id", "label", "source_model"), "id")
-    return splits.assign_split(corpus), vectors
+    dealt = texts.join(given, F.pmod("id", F.lit(given.count())) == F.col("_vector"))
+    return splits.assign_split(dealt.select("id", "text", "label", "source_model")), dealt.select("id", "embedding")
 
 
 _HEAD = "'You are a classifier that determines whether a social media post was written by a human or generated by AI.' || chr(10) || chr(10)"
 _CUT = "(CASE WHEN length({0}) > 300 THEN substr({0}, 1, 300) || '...' ELSE {0} END)"
 _DOCS_SQL = f"""{VECTORS_SQL},
-docs AS (SELECT v.*, text FROM vec v JOIN documents d ON v.id = d.doc_id), {split_sql('docs')},
+docs AS (SELECT d.doc_id AS id, v.label, v.source_model, v.u, text
+         FROM documents d JOIN vec v ON v.id = d.doc_id % (SELECT count(*) FROM embeddings)), {split_sql('docs')},
 labelled AS (SELECT v.*, split FROM docs v JOIN splits s ON v.id = s.id),
 train AS (SELECT * FROM labelled WHERE split = 'train'),
 asked AS (SELECT * FROM labelled WHERE split <> 'train')"""
