@@ -4,7 +4,8 @@ A shard ``records-NNNNNNNN.bin`` is a row of records, each framed as
 
     length          8 bytes, little-endian: bytes of data
     masked crc      4 bytes, of the length field
-    data            ids, little-endian unsigned 32-bit
+    data            one byte with the width of an id (2 or 4), then the ids,
+                    little-endian unsigned
     masked crc      4 bytes, of the data
 
 with the mask ``rotate_right(crc32, 15) + 0xA282EAD8`` (so that a checksum of data that holds
@@ -52,6 +53,20 @@ def frame(data: bytes) -> bytes:
     return b"".join((length, struct.pack("<I", masked_crc(length)), data, struct.pack("<I", masked_crc(data))))
 
 
+def pack_ids(ids: bytes) -> bytes:
+    """Record data of little-endian unsigned 32-bit ids: 16-bit ones if they fit."""
+    values = np.frombuffer(ids, "<u4")
+    narrow = values.max(initial=0) < 1 << 16
+    return b"\2" + values.astype("<u2").tobytes() if narrow else b"\4" + ids
+
+
+def unpack_ids(data: bytes) -> bytes:
+    """Ids of record data as little-endian unsigned 32-bit."""
+    if data[0] == 4:
+        return data[1:]
+    return np.frombuffer(data, "<u2", offset=1).astype("<u4").tobytes()
+
+
 class CorruptRecord(ValueError):
     """A record whose checksum or length does not hold."""
 
@@ -135,7 +150,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, lower_words: bool):
                         raise ValueError("a document without an id")
                     data = encoder.encode(text) + end
                     index.write(struct.pack(_INDEX_ENTRY, doc, offset, len(data) // 4))
-                    body.write(record := frame(data))
+                    body.write(record := frame(pack_ids(data)))
                     offset, records, ids = offset + len(record), records + 1, ids + len(data) // 4
         finally:
             for stream in (body, index):
@@ -177,9 +192,12 @@ def _reader(folder: str):
                     while entry := index.read(_INDEX_BYTES):
                         doc, offset, n = struct.unpack(_INDEX_ENTRY, entry)
                         data = read_frame(body)
-                        if data is None or offset != at or len(data) != 4 * n:
+                        if data is None or offset != at:
                             raise CorruptRecord(f"{name} does not fit its index")
                         at += len(data) + 16
+                        data = unpack_ids(data)
+                        if len(data) != 4 * n:
+                            raise CorruptRecord(f"{name} does not fit its index")
                         found.append((doc, start, n, data))
                         start, held = start + n, held + len(data)
                         if held > 4 << 20:
@@ -235,7 +253,7 @@ def read_shuffled(spark: SparkSession, folder: str, seed: int, partitions: int |
             for row in batch.to_pylist():
                 with system.open_input_file(f"{path}/records-{row['shard']:08d}.bin") as body:
                     body.seek(row["offset"])
-                    found.append((row["doc_id"], row["n_ids"], read_frame(body)))
+                    found.append((row["doc_id"], row["n_ids"], unpack_ids(read_frame(body))))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in found], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.binary()))],
                 ["doc_id", "n_ids", "ids"],
