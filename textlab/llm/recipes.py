@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from textlab.storage import materialize
 
-MIN_CHUNK = 256
-MAX_CHUNK = 2048
+MIN_CHUNK = 1024
+MAX_CHUNK = 8192
 
 
 def chunks(text: Column, shortest: int = MIN_CHUNK, longest: int = MAX_CHUNK) -> Column:
@@ -30,21 +30,19 @@ def chunks(text: Column, shortest: int = MIN_CHUNK, longest: int = MAX_CHUNK) ->
 
 
 def chunk_store(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row per distinct chunk: ``chunk_id``, ``chunk`` and how often it occurs, verified.
+    """One row per distinct chunk: ``chunk_id``, ``chunk`` and how often it occurs; stored, verified.
 
-    Equal chunks meet once, after each task has merged its own.  An identifier that stands
-    for two contents stops the job.
+    Equal chunks meet once, after each task has merged its own.  If an identifier stands for
+    two contents, that is an error.
     """
     pieces = docs.select(F.explode(chunks(F.col(text_col))).alias("chunk"))
-    merged = pieces.groupBy(F.sha2("chunk", 256).alias("chunk_id")).agg(
-        F.min("chunk").alias("chunk"), F.max("chunk").alias("_other"), F.count("*").alias("occurrences")
-    )
-    clash = F.raise_error(F.concat(F.lit("two chunks share the identifier "), F.col("chunk_id")))
-    return merged.select(
-        "chunk_id",
-        F.when(F.col("chunk") == F.col("_other"), F.col("chunk")).otherwise(clash.cast("string")).alias("chunk"),
-        "occurrences",
-    )
+    # The identifier follows from the chunk, so contents are compared whole.
+    merged = pieces.groupBy("chunk").agg(F.count("*").alias("occurrences"))
+    stored = materialize(merged.select(F.sha2("chunk", 256).alias("chunk_id"), "chunk", "occurrences"), "chunks")
+    clashes = stored.groupBy(F.unhex("chunk_id").alias("id")).agg(F.count("*").alias("n")).filter("n > 1")
+    if not clashes.isEmpty():
+        raise ValueError("two chunks share an identifier")
+    return stored
 
 
 def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -58,7 +56,7 @@ def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def exact_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stored: DataFrame | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", verify: bool = True
 ) -> DataFrame:
     """One row per input row: ``id_col, keep_id, group_size, kept, text_sha256``.
 
@@ -67,20 +65,21 @@ def exact_duplicates(
     at.  Rows that repeat an id are rows of their own in ``group_size``, and all rows that
     carry the largest id are ``kept``.  A null id is smaller than any other.
 
-    The chunk store is written first (pass ``stored`` to reuse one): that verifies the
-    identifiers.  A recipe is then compared by the SHA-256 of its list, and the lists by
-    their ends and lengths.
+    The chunk store is written first: that verifies the identifiers (``verify=False`` if it
+    was done before).  A recipe is then compared by the SHA-256 of its list and its length.
     """
-    if stored is None:
-        stored = materialize(chunk_store(docs.select(text_col), text_col), "chunks")
+    if verify:
+        chunk_store(docs.select(text_col), text_col)
     listed = recipes(docs, id_col, text_col).select(
         id_col,
         "text_sha256",
-        F.sha2(F.concat_ws(",", "recipe"), 256).alias("_recipe"),
+        F.unhex(F.sha2(F.concat_ws(",", "recipe"), 256)).alias("_recipe"),
         F.size("recipe").alias("_length"),
     )
+    listed = materialize(listed, "recipes")
     # Copies are merged in each task before they meet, so a group of any size is one row per task.
     groups = listed.groupBy("_recipe", "_length").agg(F.max(id_col).alias("keep_id"), F.count("*").alias("group_size"))
+    groups = materialize(groups, "groups")
     # A large group stands on the left only, where the join may split it.
     return (
         listed.join(groups, ["_recipe", "_length"], "left")
