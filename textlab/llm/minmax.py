@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textlab.llm.batches import slices
 from textlab.storage import materialize
@@ -32,7 +32,7 @@ SHINGLE = 3
 BAND = 6
 BANDS = 28
 #: Buckets up to this size are compared pairwise.
-SMALL = 24
+SMALL = 256
 
 _SEED = 20_011
 
@@ -137,8 +137,11 @@ def _verifier(percent: int):
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b`` with both shingle sets; the side that many pairs share is joined last."""
-    side = lambda name: sets.select(F.col("rep").alias(name), F.col("set").alias(f"{name}_set"))
+    """``a, b`` with both shingle sets; the side that many pairs share is joined last.
+
+    Pairs and sets both grow with the corpus, so neither is shipped whole.
+    """
+    side = lambda name: sets.select(F.col("rep").alias(name), F.col("set").alias(f"{name}_set")).hint("merge")
     return pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
 
 
@@ -147,7 +150,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(_verifier(percent), "a bigint, b bigint")
 
 
-def _differences(stars: DataFrame, sets: DataFrame) -> DataFrame:
+def _differences(stars: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """New buckets from old ones: members that differ from their pivot in the same shingle.
 
     Let D(x) be the shingles in which x differs from the pivot p.  If D(x) and D(y) have
@@ -156,39 +159,52 @@ def _differences(stars: DataFrame, sets: DataFrame) -> DataFrame:
     <= 15 * (|x| + |y|) and |y| <= |p| + |D(y)| give 185 * |D(x)| <= 15 * (|x| + |p|).  Both
     are then in the pivot's component already.  So only members that share an element of
     their differences are left to compare.
+
+    Linked members also differ in at most t = 15 / 185 * (|x| + |x| / 0.85) shingles, so
+    D(x) and D(y) share all but t of the elements of D(x).  Of all elements, ordered by how
+    rare they are among the members, the first t + 1 of D(x) are then enough to meet y.
+    What many members have in common never makes a bucket unless it is all they differ in.
+
+    Returns ``bucket, rep, n, pop``; members nearest to the old pivot are the first choice
+    for a new one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches, 64):
-            keys, members = [], []
+            keys, members, counts, pivots = [], [], [], []
             columns = (rows.column(c).to_pylist() for c in ("a", "b", "a_set", "b_set"))
             for pivot, member, x, y in zip(*columns):
                 apart = np.setxor1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)
                 with np.errstate(over="ignore"):
                     key = _mix(apart * np.uint64(0x9E3779B97F4A7C15) + np.int64(pivot).astype(np.uint64))
                 keys.append(key.view(np.int64))
-                members.append(np.full(len(key), member, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)),
-                    pa.array(np.concatenate(members) if members else np.empty(0, np.int64)),
-                ],
-                ["bucket", "rep"],
-            )
+                for out, value in ((members, member), (counts, len(key)), (pivots, pivot)):
+                    out.append(np.full(len(key), value, np.int64))
+            parts = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (keys, members, counts, pivots))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts], ["bucket", "rep", "d", "pivot"])
 
     pairs = stars.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    return _with_sets(pairs, sets).select("a", "b", "a_set", "b_set").mapInArrow(run, "bucket bigint, rep bigint")
+    apart = _with_sets(pairs, sets).select("a", "b", "a_set", "b_set")
+    apart = apart.mapInArrow(run, "bucket bigint, rep bigint, d bigint, pivot bigint")
+    apart = materialize(apart.distinct(), "apart")
+    common = materialize(apart.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1"), "common")
+    own = Window.partitionBy("pivot", "rep")
+    # Elements that nobody shares come first in the order, and are not among the rows.
+    place = F.col("d") - F.count("*").over(own) + F.row_number().over(own.orderBy("c", "bucket"))
+    most = F.floor((100 - percent) / (100 + percent) * F.col("n") * (1 + 100 / percent)) + 1
+    met = apart.join(common, "bucket").join(sizes, "rep").withColumn("_place", place)
+    met = met.filter(F.col("_place") <= most)
+    return met.select("bucket", "rep", "n", (-F.col("d")).alias("pop"))
 
 
 def components(links: DataFrame) -> DataFrame:
     """``rep, component`` for every end of a link ``a, b``: the smallest id it reaches.
 
     Alternates two steps that hang every neighbour on the smallest one, first the larger
-    neighbours of a vertex, then the smaller ones, until nothing changes.  Each step is an
+    neighbours of a vertex, then the smaller ones, until all hang on the smallest of all.  Each step is an
     aggregation and a join, so a vertex with any number of links is never held in one place.
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    state = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -199,10 +215,11 @@ def components(links: DataFrame) -> DataFrame:
             F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
         )
         edges = materialize(small.select("e.u", "e.v").filter("u > v").distinct(), "links")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state:
+        # Done when every vertex hangs on one other that hangs on none.
+        several = edges.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").select("u")
+        chained = edges.select("u").join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
+        if several.union(chained).isEmpty():
             break
-        state = now
     ends = edges.select(F.col("u").alias("rep"), F.col("v").alias("component"))
     return ends.union(edges.select(F.col("v").alias("rep"), F.col("v").alias("component")).distinct())
 
@@ -217,7 +234,8 @@ def _stars(rows: DataFrame) -> DataFrame:
         F.count("*").alias("size"), F.max(F.struct("pop", (-F.col("rep")).alias("r"), "n")).alias("best")
     )
     best = best.select("bucket", "size", (-F.col("best.r")).alias("pivot"), F.col("best.n").alias("pivot_n"))
-    return rows.join(best, "bucket")
+    # Stored, so that the join may split the rows of a large bucket.
+    return rows.join(materialize(best, "pivots"), "bucket")
 
 
 def _comparable(n, m, percent: int):
@@ -229,18 +247,21 @@ def _open(rows: DataFrame, known: DataFrame) -> DataFrame:
     """Rows of the buckets whose members are not all in one component, with the component."""
     placed = rows.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     spread = placed.groupBy("bucket").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"))
-    return placed.join(spread.filter("_lo < _hi").select("bucket"), "bucket")
+    return placed.join(materialize(spread.filter("_lo < _hi").select("bucket"), "spread"), "bucket")
 
 
 def _pairs_within(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of small buckets that are still apart and were not compared as pivot and member."""
     member = F.struct("rep", "n", "component")
-    listed = rows.groupBy("bucket").agg(F.array_sort(F.collect_list(member)).alias("m"), F.first("pivot").alias("pivot"))
-    one = listed.select("m", "pivot", F.posexplode("m").alias("at", "x"))
-    two = one.select("pivot", "x", F.explode(F.slice("m", F.col("at") + 2, F.lit(SMALL))).alias("y"))
-    apart = (F.col("x.component") != F.col("y.component")) & _comparable(F.col("x.n"), F.col("y.n"), percent)
-    fresh = (F.col("x.rep") != F.col("pivot")) & (F.col("y.rep") != F.col("pivot"))
-    return two.filter(apart & fresh).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    # The pivot was compared with all members.  Bands often propose the same members again.
+    listed = rows.filter("rep != pivot").groupBy("bucket").agg(F.array_sort(F.collect_list(member)).alias("m"))
+    one = listed.select("m").distinct().select("m", F.posexplode("m").alias("at", "x"))
+
+    def partner(y: Column) -> Column:
+        return (F.col("x.component") != y["component"]) & _comparable(F.col("x.n"), y["n"], percent)
+
+    partners = F.filter(F.slice("m", F.col("at") + 2, F.lit(SMALL)), partner)
+    return one.select(F.col("x.rep").alias("a"), F.explode(partners["rep"]).alias("b")).distinct()
 
 
 def near_duplicates(
@@ -276,13 +297,13 @@ def near_duplicates(
 
     # The bands carry their number in the key, so a key alone is a bucket.
     members = classes.select("rep", "n", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = materialize(members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "shared")
     members = materialize(members.join(shared, "bucket"), "members")
-    popular = members.groupBy("rep").agg(F.sum("size").alias("pop"))
+    popular = materialize(members.groupBy("rep").agg(F.sum("size").alias("pop")), "popular")
     rows = materialize(_stars(members.drop("size").join(popular, "rep")), "stars")
     numbers = rows.select("rep").distinct()
-    wanted = source.join(numbers, source["_id"] == numbers["rep"], "left_semi")
-    sets = materialize(wanted.mapInArrow(_setter(words), "rep bigint, set binary").dropDuplicates(["rep"]), "sets")
+    wanted = source.join(numbers.hint("merge"), source["_id"] == numbers["rep"], "left_semi")
+    sets = materialize(wanted.mapInArrow(_setter(words), "rep bigint, set binary"), "sets")
     sizes = classes.select("rep", "n")
 
     links = None
@@ -301,11 +322,7 @@ def near_duplicates(
         large = left.filter((F.col("size") > SMALL) & (F.col("rep") != F.col("pivot")))
         if large.isEmpty():
             break
-        known = components(links)
-        # Popularity decides about pivots only, so the sizes of sets take its place further down.
-        deeper = _differences(large, sets).distinct()
-        again = deeper.groupBy("bucket").agg(F.count("*").alias("_c")).filter("_c > 1").select("bucket")
-        deeper = materialize(deeper.join(again, "bucket").join(sizes, "rep").withColumn("pop", -F.col("n")), "deeper")
+        deeper = materialize(_differences(large, sets, sizes, percent), "deeper")
         deeper = materialize(_open(deeper, known).drop("component"), "deeper")
         if deeper.isEmpty():
             break
@@ -313,7 +330,7 @@ def near_duplicates(
 
     merged = components(links)
     of_class = classes.select("set_key", "rep").join(merged, "rep", "left")
-    of_class = of_class.select("set_key", F.coalesce("component", "rep").alias("_component"))
+    of_class = materialize(of_class.select("set_key", F.coalesce("component", "rep").alias("_component")), "of_class")
     own = signed.select("_id", "n", "set_key").join(of_class, "set_key", "left")
     component = F.coalesce("_component", "_id")
     kind = docs.schema[id_col].dataType
