@@ -13,8 +13,9 @@ import re
 
 import numpy as np
 
-#: Words that a worker remembers before it starts over (some 150 bytes each).
-CACHE_WORDS = 800_000
+#: Words that a worker remembers at least, and half of those that it does at most (some 250
+#: bytes each): when so many are new, those not met since the last time are forgotten.
+CACHE_WORDS = 200_000
 
 # ASCII punctuation that forms one piece when it ends a word.  Quotes may begin a contraction.
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -47,14 +48,22 @@ class WordEncoder:
         self._lower = lower_words
         self._limit = cache_words
         self._bytes = _byte_alphabet()
-        self._start()
-
-    def _start(self) -> None:
         self._spaced: dict[str, bytes] = {}  # words after a space (or, lower-cased vocabularies, any)
         self._bare: dict[str, bytes] = {}  # pieces without a space before them
         self._tails: dict[str, bytes] = {}
+        self._older: dict[int, dict[str, bytes]] = {}
         self._newline = None if self._lower else self._ask("\n")
 
+    def _forget(self) -> None:
+        """Begin a new generation; words of the last one return when they are met again."""
+        self._older = {id(new): old for new, old in ((self._begin("_spaced")), (self._begin("_bare")))}
+        self._tails = {}
+
+    def _begin(self, name: str) -> tuple[dict[str, bytes], dict[str, bytes]]:
+        old = getattr(self, name)
+        setattr(self, name, {})
+        return getattr(self, name), old
+
     def _ask(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -63,14 +72,16 @@ class WordEncoder:
         return np.array([t.id for t in self._model.tokenize(mapped)], "<u4").tobytes()
 
     def _word(self, word: str, space: str, known: dict[str, bytes]) -> bytes:
-        """Ids of a word not met before."""
+        """Ids of a word not met in this generation; a word and the signs after it are kept apart."""
         stem = word.rstrip(_TAIL)
         # Letters of the Latin blocks are their own composed form, and one letter when lower-cased.
         if not (stem.isalpha() and (stem.isascii() or (max(stem) < "ɐ" and "İ" not in stem))):
-            return self._ask(space + word)
+            found = known[word] = self._older.get(id(known), {}).get(word) or self._ask(space + word)
+            return found
         found = known.get(stem)
         if found is None:
-            found = known[stem] = self._piece(space + (stem.lower() if self._lower else stem))
+            found = self._older.get(id(known), {}).get(stem)
+            found = known[stem] = found or self._piece(space + (stem.lower() if self._lower else stem))
         if tail := word[len(stem) :]:
             ids = self._tails.get(tail)
             if ids is None:
@@ -80,21 +91,17 @@ class WordEncoder:
 
     def _words(self, words: list[str], known: dict[str, bytes], space: str) -> list[bytes]:
         found = list(map(known.get, words))
-        if None in found:
-            for i, ids in enumerate(found):
-                if ids is None:
-                    word = words[i]
-                    ids = known.get(word)
-                    if ids is None:
-                        ids = known[word] = self._word(word, space, known)
-                    found[i] = ids
+        at = -1
+        for _ in range(found.count(None)):
+            at = found.index(None, at + 1)
+            found[at] = self._word(words[at], space, known)
         return found
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if len(self._spaced) + len(self._bare) > self._limit:
-            self._start()
+            self._forget()
         if any(c in text for c in _ODD_SPACE):
             return self._ask(text)
         words = text.split()
@@ -120,7 +127,9 @@ class WordEncoder:
             spaced = piece[0] == " " and len(piece) > 1 and not piece[1].isspace()
             known, word = (self._spaced, piece[1:]) if spaced else (self._bare, piece)
             ids = known.get(word)
-            if ids is None:
-                ids = known[word] = self._word(word, " ", known) if spaced else self._ask(word)
+            if ids is None and spaced:
+                ids = self._word(word, " ", known)
+            elif ids is None:
+                ids = known[word] = self._ask(word)
             out.append(ids)
         return out
