@@ -131,10 +131,11 @@ def test_held_out_rows_are_never_candidates(spark, points):
     assert result and all(split[r["tid"]] == "train" and r["tid"] != r["qid"] for r in result)
 
 
-def test_broadcast_refuses_what_is_too_large(spark, points):
+def test_broadcast_falls_back_for_what_is_too_large(spark, points):
     df = table(spark, points)
-    with pytest.raises(ValueError, match="block"):
-        knn.knn_join(df, df, 3, strategy="broadcast", broadcast_bytes=100)
+    small = knn.knn_join(df, df, 3, strategy="broadcast", broadcast_bytes=100)
+    assert "CoGroups" in small._jdf.queryExecution().toString()
+    assert sorted(small.collect()) == sorted(knn.knn_join(df, df, 3, strategy="block").collect())
     with pytest.raises(ValueError, match="strategy"):
         knn.knn_join(df, df, 3, strategy="guess")
 
