@@ -92,7 +92,7 @@ def token_pieces(
 
 def _cutter(tokenizer: str, end_id: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_state(f"words-{tokenizer}", lambda: WordEncoder(tokenizer, lower_words=False))
+        encoder = worker_state(f"words-{tokenizer}", lambda: WordEncoder(tokenizer, lower_words=False, added_tokens=True))
         task = TaskContext.get().partitionId()
         end = int(end_id).to_bytes(4, "little")
         made = [0] * (size + 1)

@@ -133,7 +133,7 @@ def write_records(
 
 def _writer(folder: str, tokenizer: str, end_id: int, lower_words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_state(f"words-{tokenizer}", lambda: WordEncoder(tokenizer, lower_words))
+        encoder = worker_state(f"words-{tokenizer}", lambda: WordEncoder(tokenizer, lower_words, added_tokens=True))
         shard = TaskContext.get().partitionId()
         system, path = _file_system(folder)
         names = [f"{path}/records-{shard:08d}.{kind}" for kind in ("bin", "idx")]

@@ -36,14 +36,19 @@ class WordEncoder:
 
     ``lower_words=True`` is for a vocabulary that lower-cases and drops white space (words
     are told apart by an end marker), ``False`` for one in which a word carries the space
-    before it.
+    before it.  With ``added_tokens`` the contents of added tokens are those tokens, as in the
+    library's plain call, else they are text like any other.
     """
 
-    def __init__(self, path: str, lower_words: bool, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, lower_words: bool, cache_words: int = CACHE_WORDS, added_tokens: bool = False):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = not added_tokens
+        # Special tokens are text when they are not asked for, other added tokens never are.
+        added = [t for t in self._tokenizer.get_added_tokens_decoder().values() if added_tokens or not t.special]
+        self._added = [t.content for t in added]
+        self._normalize = self._tokenizer.normalizer.normalize_str if any(t.normalized for t in added) else None
         self._model = self._tokenizer.model
         self._lower = lower_words
         self._limit = cache_words
@@ -97,9 +102,17 @@ class WordEncoder:
             found[at] = self._word(words[at], space, known)
         return found
 
+    def _holds_added(self, text: str) -> bool:
+        """Whether an added token may be found in a text: those are looked for before words are."""
+        if any(t in text for t in self._added):
+            return True
+        return self._normalize is not None and any(t in self._normalize(text) for t in self._added)
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self._holds_added(text):
+            return self._ask(text)
         if len(self._spaced) + len(self._bare) > self._limit:
             self._forget()
         if any(c in text for c in _ODD_SPACE):
