@@ -1,9 +1,9 @@
-"""Shortest-pack-first packing over the histogram of piece lengths.
+"""Longest-pack-first packing over the histogram of piece lengths.
 
 Documents are encoded, ended and cut into pieces of at most a sequence.  Only the histogram
 of piece lengths (one count per length) is packed: lengths are placed longest first, each
-into the kind of pack that is fullest up to now and still has room -- the one with the
-shortest space left -- and packs of a kind are counted, never listed.  The packing patterns
+into the kind of pack that is fullest up to now and still has room, and packs of a kind are
+counted, never listed.  The packing patterns
 are then joined back to the pieces by rank: the r-th piece of a length goes into the slot
 that holds rank r.
 """
