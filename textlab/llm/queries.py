@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textlab.llm import contamination, minmax, packing, pii, recipes, records, repeats, resampling, toxicity, wrappers
+from textlab.llm import (
+    collocations,
+    contamination,
+    minmax,
+    packing,
+    perplexity,
+    pii,
+    recipes,
+    records,
+    repeats,
+    resampling,
+    toxicity,
+    whitening,
+    wrappers,
+)
 from textlab.storage import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,3 +183,52 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Importance, sampling key and decision for every document."""
     return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+COLLOCATION_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+listed AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+counts AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM listed, unnest(range(1, 6)) AS a(k), unnest(range(1, len(w) - k + 2)) AS b(i) GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang),
+frequent AS (SELECT * FROM counts WHERE f >= 100),
+candidates AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a, n FROM frequent JOIN totals USING (lang) WHERE k > 1),
+cuts AS (
+  SELECT c.lang, c.phrase, a, n, j, l.f AS l, r.f AS r, (1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM candidates) c
+  JOIN frequent l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:j], ' ')
+  JOIN frequent r ON r.lang = c.lang AND r.phrase = array_to_string(w[j + 1:k], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM candidates, unnest(range(2, k)) AS s(m), unnest(range(1, k - m + 2)) AS t(i) GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN inside i ON b.lang = i.lang AND b.phrase = i.phrase
+         WHERE longer IS NULL OR 100 * longer < 100 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n,
+       score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000"""
+
+
+@query(COLLOCATION_SQL)
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The most strongly bound phrases of each language."""
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+@query()
+def op12_perplexity(spark: SparkSession, folder: str) -> DataFrame:
+    """Plain counts of whole texts, and whether their perplexity is usual for their language."""
+    return perplexity.quality_rules(table(spark, folder, "documents"))
+
+
+@query()
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """All usable vectors on the whitened components of all of them."""
+    white = whitening.whiten(table(spark, folder, "embeddings"))
+    # A deviation beyond a long is an error, not a wrong number.
+    return white.withColumn("deviation", F.col("deviation").cast("bigint"))
