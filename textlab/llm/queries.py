@@ -202,7 +202,7 @@ cuts AS (
   SELECT c.lang, c.phrase, a, n, j, l.f AS l, r.f AS r, (1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS score
   FROM (SELECT *, unnest(range(1, k)) AS j FROM candidates) c
   JOIN frequent l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:j], ' ')
-  JOIN frequent r ON r.lang = c.lang AND r.phrase = array_to_string(w[j + 1:k], ' ')),
+  JOIN frequent r ON r.lang = c.lang AND r.phrase = array_to_string(w[j + 1:c.k], ' ')),
 best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
 inside AS (
   SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer
