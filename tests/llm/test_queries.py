@@ -36,7 +36,7 @@ def result(spark, name):
 
 def test_all_are_registered():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact", "near", "benchmark", "pack"]
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert {*queries.QUERIES, "pipeline"} <= set(contract.queries())
 
 

@@ -182,32 +182,44 @@ def discounts(rows: DataFrame) -> DataFrame:
 
 
 def _given(n: Column) -> Column:
-    return F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
+    return F.when(n <= 0, F.lit(0.0)).when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
 
 
 def probabilities(rows: DataFrame, lower: DataFrame | None, order: int) -> DataFrame:
-    """``lang, gram, p`` of one order, interpolated with the order below (or all 256 bytes)."""
+    """``lang, gram, p, q`` of one order, interpolated with the order below (or all 256 bytes).
+
+    ``q`` is the probability after one occurrence is taken away (leaving one out).  An n-gram
+    that was there once is then gone, with it one of the bytes that stand before its suffix,
+    so the order below has lost an occurrence as well; if the context was there once, only
+    the order below is left.
+    """
     found = rows.join(materialize(discounts(rows), "discounts"), "lang")
-    found = found.select("lang", "gram", "n", _given(F.col("n")).alias("d"), F.shiftright("gram", 8).alias("context"))
+    found = found.select(
+        "lang", "gram", "n", _given(F.col("n")).alias("d"), _given(F.col("n") - 1).alias("less"),
+        F.shiftright("gram", 8).alias("context"),
+    )
     contexts = found.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("mass"))
     found = found.join(contexts, ["lang", "context"])
     if lower is None:
-        below = F.lit(1 / 256)
+        found = found.withColumns({"below_p": F.lit(1 / 256), "below_q": F.lit(1 / 256)})
     else:
-        suffix = lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below"))
+        suffix = lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below_p"), F.col("q").alias("below_q"))
         mask = (1 << 8 * (order - 1)) - 1
         found = found.withColumn("suffix", F.col("gram").bitwiseAND(F.lit(mask))).join(suffix, ["lang", "suffix"])
-        below = F.col("below")
-    # A count may be smaller than its discount when few counts are known; nothing is taken below zero.
-    p = (F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) + F.col("mass") * below) / F.col("total")
-    return materialize(found.select("lang", "gram", p.alias("p")), f"order{order}")
+    n, d, less, total, mass = (F.col(c) for c in ("n", "d", "less", "total", "mass"))
+    p = (n - d + mass * F.col("below_p")) / total
+    below = F.when(n == 1, F.col("below_q")).otherwise(F.col("below_p"))
+    q = F.when(total == 1, below).otherwise((n - 1 - less + (mass - d + less) * below) / (total - 1))
+    return materialize(found.select("lang", "gram", p.alias("p"), q.alias("q")), f"order{order}")
 
 
 def model(counts: DataFrame) -> DataFrame:
     """``lang, gram, cost``: minus the log probability of every n-gram's last byte, stored.
 
     The highest order has the counts themselves, a lower one the number of different bytes
-    that stand before an n-gram.
+    that stand before an n-gram.  The texts that are scored are those that were counted, so
+    the probability is the one that leaves the occurrence itself out: else what occurs nowhere
+    else would seem certain.
     """
     orders = {ORDER: counts}
     for order in range(ORDER - 1, 0, -1):
@@ -217,7 +229,7 @@ def model(counts: DataFrame) -> DataFrame:
     found = None
     for order in range(1, ORDER + 1):
         found = probabilities(orders[order], found, order)
-    return found.select("lang", "gram", (-F.log("p")).alias("cost"))
+    return found.select("lang", "gram", (-F.log("q")).alias("cost"))
 
 
 def _sorted_arrays(costs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
