@@ -14,6 +14,7 @@ from textlab.functions.labels import AI, HUMAN
 from textlab.functions.text import clean_text, truncate, word_count
 from textlab.functions.vectors import cosine, l2_normalize
 from textlab.operators import checks, classify, metrics, normalize, prompts, ranks, reports, sampling, splits
+from textlab.operators.candidates import CandidateStore
 from textlab.operators.embed import HashingEmbedder, embed, embed_missing
 from textlab.operators.knn import knn_join
 from textlab.plans import evaluation, training
@@ -600,6 +601,26 @@ def knn_self_excluded(spark, folder):
     return _rounded(knn_join(vectors, candidates(vectors), 10, exclude_self=True))
 
 
+@query(
+    f"""WITH {_SPLIT_VECTORS_SQL}, early AS (SELECT * FROM train WHERE id % 3 > 0), {knn_sql('asked', 'early', 10)},
+searches AS (SELECT 1 AS step, * FROM nn UNION ALL SELECT 2, * FROM (
+  SELECT q.id AS qid, t.id AS tid, list_inner_product(q.u, t.u) AS score, t.label, t.source_model,
+         row_number() OVER (PARTITION BY q.id ORDER BY list_inner_product(q.u, t.u) DESC, t.id) AS rank
+  FROM asked q JOIN train t ON true QUALIFY rank <= 10))
+SELECT step, qid, tid, round(score, 6) AS score, label, rank::INT AS rank FROM searches"""
+)
+def knn_stored(spark, folder):
+    """A store of two thirds of the candidates is searched, gets the rest, and is searched again."""
+    vectors = split_vectors(spark, folder)
+    early = F.col("id") % 3 > 0
+    store = CandidateStore.create(candidates(vectors).filter(early), scratch_path(spark, "candidates"), carry=["label"])
+    first = store.search(held_out(vectors), 10)
+    store.append(candidates(vectors).filter(~early), "late")
+    second = store.search(held_out(vectors), 10, ship_bytes=0, block_bytes=GRID_BLOCK_BYTES)
+    steps = first.withColumn("step", F.lit(1)).unionByName(second.withColumn("step", F.lit(2)))
+    return steps.select("step", "qid", "tid", F.round("score", 6).alias("score"), "label", "rank")
+
+
 _BALANCED_SQL = """smaller AS (SELECT min(n) AS m FROM (SELECT count(*) AS n FROM train GROUP BY label)),
 drawn AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42-' || id)) AS r FROM train),
 balanced AS (SELECT * EXCLUDE (r, m) FROM drawn, smaller WHERE r <= m),
@@ -663,19 +684,49 @@ def knn_attribution(spark, folder):
 # --------------------------------------------------------------------------- prompts
 
 
+PROMPT_DIMENSIONS = 256
+
+
+def prompt_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents, cleaned, with their own label and source; without a label they are human."""
+    labels = table(spark, folder, "labels").select("doc_id", (F.col("quality") == 1).alias("_ai"))
+    joined = documents_to_clean(spark, folder).join(labels, "doc_id", "left")
+    ai = F.coalesce("_ai", F.lit(False))
+    corpus = joined.select(
+        F.col("doc_id").alias("id"),
+        clean_text(F.col("text")).alias("text"),
+        F.when(ai, AI).otherwise(HUMAN).alias("label"),
+        F.when(ai, F.col("source")).otherwise(HUMAN).alias("source_model"),
+    )
+    # Stored: the split, the embedding and the prompts read the cleaned texts.
+    return materialize(splits.assign_split(materialize(corpus, "cleaned")), "corpus")
+
+
 def prompt_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Split corpus and vectors of all documents; there are fewer vectors, which are dealt out in turn."""
-    given = vectors_view(spark, folder).withColumnRenamed("id", "_vector")
-    texts = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
-    dealt = texts.join(given, F.pmod("id", F.lit(given.count())) == F.col("_vector"))
-    return splits.assign_split(dealt.select("id", "text", "label", "source_model")), dealt.select("id", "embedding")
+    """The split corpus and the vectors of its whole texts."""
+    corpus = prompt_corpus(spark, folder)
+    return corpus, embed_missing(corpus, scratch_path(spark, "embeddings"), HashingEmbedder(PROMPT_DIMENSIONS))
 
 
 _HEAD = "'You are a classifier that determines whether a social media post was written by a human or generated by AI.' || chr(10) || chr(10)"
 _CUT = "(CASE WHEN length({0}) > 300 THEN substr({0}, 1, 300) || '...' ELSE {0} END)"
-_DOCS_SQL = f"""{VECTORS_SQL},
-docs AS (SELECT d.doc_id AS id, v.label, v.source_model, v.u, text
-         FROM documents d JOIN vec v ON v.id = d.doc_id % (SELECT count(*) FROM embeddings)), {split_sql('docs')},
+_BUCKET_SQL = "(concat('0x', substr(md5(term), 1, 8))::BIGINT % {0})"
+# Term counts of whole cleaned texts by hash bucket, scaled to length one.
+_DOCS_SQL = f"""cleaned AS (
+  SELECT d.doc_id AS id, CASE WHEN l.quality = 1 THEN 'ai' ELSE 'human' END AS label,
+         CASE WHEN l.quality = 1 THEN d.source ELSE 'human' END AS source_model, {clean_sql('d.text')} AS text
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+weights AS (
+  SELECT id, {_BUCKET_SQL.format(PROMPT_DIMENSIONS)} AS b, count(*) AS n
+  FROM (SELECT id, unnest(string_split(lower(text), ' ')) AS term FROM cleaned) WHERE term <> '' GROUP BY ALL),
+dense AS (
+  SELECT c.id, list(coalesce(n, 0)::DOUBLE ORDER BY r.b) AS v
+  FROM cleaned c JOIN (SELECT unnest(range({PROMPT_DIMENSIONS})) AS b) r ON true
+  LEFT JOIN weights w ON w.id = c.id AND w.b = r.b GROUP BY c.id),
+sized AS (SELECT *, sqrt(list_inner_product(v, v)) AS len_v FROM dense),
+docs AS (
+  SELECT c.*, CASE WHEN len_v > 0 THEN list_transform(v, lambda x: x / len_v) ELSE v END AS u
+  FROM cleaned c JOIN sized s ON c.id = s.id), {split_sql('docs')},
 labelled AS (SELECT v.*, split FROM docs v JOIN splits s ON v.id = s.id),
 train AS (SELECT * FROM labelled WHERE split = 'train'),
 asked AS (SELECT * FROM labelled WHERE split <> 'train')"""

@@ -40,3 +40,17 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme, as Spark resolves it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+    return found if "://" in found else found.replace("file:/", "file:///", 1)
+
+
+def file_system(uri: str):
+    """pyarrow's file system for a qualified path, and the path in it.  Runs in tasks too."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)

@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from textlab.operators.candidates import CandidateStore, prepared
 from textlab.operators.classify import knn_vote
 from textlab.operators.embed import Embedder, embed
-from textlab.operators.knn import BROADCAST_BYTES, knn_join
+from textlab.operators.knn import BROADCAST_BYTES
 from textlab.operators.normalize import accepted, align_social
 from textlab.storage import materialize
 
@@ -53,7 +54,7 @@ def stream_embed(
 
 def stream_score(
     queries: DataFrame,
-    train: DataFrame,
+    train: DataFrame | CandidateStore,
     path: str,
     checkpoint: str,
     *,
@@ -62,7 +63,11 @@ def stream_score(
     broadcast_bytes: int = BROADCAST_BYTES,
     trigger: dict = NOW,
 ) -> StreamingQuery:
-    """Classify arriving ``id, embedding`` rows by a vote of a fixed labelled table.
+    """Classify arriving ``id, embedding`` rows by a vote of a labelled table.
+
+    A table is measured, and shipped or stored by cell, before the stream begins, not for
+    each micro-batch.  A store (which carries ``label``) is searched with whatever has been
+    added to it by then.
 
     Every micro-batch writes the folder ``batch_id=N`` of ``path``, so the layout and the
     columns (``batch_id`` among them) are the same whatever the size of ``train``, which may
@@ -73,10 +78,11 @@ def stream_score(
     (an embedder, say) runs once for each row.
     """
 
+    search = prepared(train, k, vector=vector, carry=["label"], broadcast_bytes=broadcast_bytes)
+
     def score(batch: DataFrame, batch_id: int) -> None:
         stored = materialize(batch.select("id", vector), "arrived")
-        neighbours = knn_join(stored, train, k, vector=vector, carry=["label"], broadcast_bytes=broadcast_bytes)
-        knn_vote(stored, neighbours).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        knn_vote(stored, search(stored)).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return (
         queries.writeStream.foreachBatch(score)
