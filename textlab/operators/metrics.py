@@ -170,8 +170,19 @@ def metrics(
 
     With one class only, accuracy is kept and the other three are null.
     """
-    stored = materialize(score_histogram(predictions, groups), "scores")
-    return _summarize(stored, list(groups), fpr, digits, small)
+    return metrics_of_histogram(score_histogram(predictions, groups), groups, fpr=fpr, digits=digits, small=small)
+
+
+def metrics_of_histogram(
+    histogram: DataFrame,
+    groups: Sequence[str] = (),
+    *,
+    fpr: float = FPR,
+    digits: int | None = DIGITS,
+    small: int = SMALL,
+) -> DataFrame:
+    """:func:`metrics` from ``*groups, score, pos, neg, tp, fp``."""
+    return _summarize(materialize(histogram, "scores"), list(groups), fpr, digits, small)
 
 
 def metrics_by_source(
@@ -188,7 +199,13 @@ def metrics_by_source(
     from a second copy of the rows.
     """
     named = predictions.withColumn("_source", F.coalesce(F.col(source), F.lit(UNKNOWN_SOURCE)))
-    fine = score_histogram(named, ["_source"])
+    return source_metrics_of_histogram(score_histogram(named, ["_source"]), fpr=fpr, digits=digits, small=small)
+
+
+def source_metrics_of_histogram(
+    fine: DataFrame, *, fpr: float = FPR, digits: int | None = DIGITS, small: int = SMALL
+) -> DataFrame:
+    """:func:`metrics_by_source` from ``_source, score, pos, neg, tp, fp``."""
     both = (
         fine.groupingSets([["score"], ["_source", "score"]], "_source", "score")
         .agg(

@@ -59,6 +59,15 @@ def hash_cuts(
 ) -> DataFrame:
     """The key of the n-th row, in seeded order, of each stratum.
 
+    See :func:`cuts_of_keys`, which this calls with the keys of ``df``.
+    """
+    holding = holding_prefixes(counts, targets, strata)
+    return cuts_of_keys(_keyed(df, strata, id_col, seed, digits), holding, strata)
+
+
+def holding_prefixes(counts: DataFrame, targets: DataFrame, strata: Sequence[str]) -> DataFrame:
+    """``*strata, name, _prefix, _nth``: the prefix that holds the wanted row, and its place there.
+
     ``counts`` is the table's :func:`prefix_counts`.  ``targets`` has the strata columns,
     ``name`` and ``n``; it is a report-sized table (one row per stratum and name).  The
     result has ``cut`` in place of ``n``.  A target beyond the stratum's size gives its last
@@ -75,8 +84,14 @@ def hash_cuts(
     holding = pairs.filter((before < wanted) & (wanted <= F.col("_upto"))).select(
         *strata, "name", "_prefix", (wanted - before).alias("_nth")
     )
+    return holding
+
+
+def cuts_of_keys(keyed: DataFrame, holding: DataFrame, strata: Sequence[str]) -> DataFrame:
+    """``*strata, name, cut`` from rows with ``*strata, _prefix, _key``; other prefixes are not looked at."""
+    strata = list(strata)
     # At most one row per target, whatever the size of the table.
-    candidates = _keyed(df, strata, id_col, seed, digits).join(F.broadcast(holding), [*strata, "_prefix"])
+    candidates = keyed.join(F.broadcast(holding), [*strata, "_prefix"])
     order = Window.partitionBy(*strata, "name").orderBy("_key")
     return (
         candidates.withColumn("_rank", F.row_number().over(order))

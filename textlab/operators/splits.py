@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from textlab.functions.text import has_words
 from textlab.operators.ranks import PREFIX_DIGITS, hash_cuts, prefix_counts, with_hash_key, within
@@ -75,6 +75,19 @@ def split_cuts(
     labelled = corpus.filter(F.col("label").isNotNull())
     how = {"strata": ["label"], "seed": seed, "digits": digits}
     counts = prefix_counts(labelled, **how)
+    return cuts_from_counts(
+        spark, counts, lambda targets: hash_cuts(labelled, counts, targets, **how), held_out, test_of_held_out
+    )
+
+
+def cuts_from_counts(
+    spark: SparkSession,
+    counts: DataFrame,
+    find: Callable[[DataFrame], DataFrame],
+    held_out: float = HELD_OUT_SHARE,
+    test_of_held_out: float = TEST_SHARE_OF_HELD_OUT,
+) -> DataFrame:
+    """The rule of :func:`split_cuts` from counts per label and prefix; ``find`` looks the wanted keys up."""
     # One row per label.
     sizes = {r["label"]: r["n"] for r in counts.groupBy("label").agg(F.sum("_count").alias("n")).collect()}
     quotas = split_quotas(sizes, held_out, test_of_held_out)
@@ -86,7 +99,7 @@ def split_cuts(
         ],
         "label STRING, name STRING, n BIGINT",
     )
-    found = hash_cuts(labelled, counts, targets, **how)
+    found = find(targets)
     cuts = {(r["label"], r["name"]): r["cut"] for r in found.collect()}
     key = found.schema["cut"].dataType.simpleString()
     return spark.createDataFrame(

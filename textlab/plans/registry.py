@@ -7,7 +7,10 @@ rounded on both sides, because engines add in different orders.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import suppress
 
+import numpy as np
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textlab.functions.labels import AI, HUMAN
@@ -16,11 +19,12 @@ from textlab.functions.vectors import cosine, l2_normalize
 from textlab.operators import checks, classify, metrics, normalize, prompts, ranks, reports, sampling, splits
 from textlab.operators.candidates import CandidateStore
 from textlab.operators.embed import HashingEmbedder, embed, embed_missing
+from textlab.operators.increments import GrowingIds, GrowingMetrics, GrowingSplit
 from textlab.operators.knn import knn_join
 from textlab.plans import evaluation, training
 from textlab.sources.readers import read_answers, read_csv_folder, spread
 from textlab.storage import materialize, scratch_path
-from textlab.streaming.streams import stream_embed, stream_normalize, stream_score
+from textlab.streaming.streams import stream_embed, stream_metrics, stream_normalize, stream_score
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -920,6 +924,26 @@ def embed_resume(spark, folder):
     return embedding_totals(embed_missing(rows, store, embedder, chunks=2))
 
 
+def interrupted_embedder(texts: list[str]) -> np.ndarray:
+    """A service that refuses some texts."""
+    if any(len(t) % 50 == 7 for t in texts):
+        raise OSError("the service is down")
+    return HashingEmbedder(EMBED_DIMENSIONS)(texts)
+
+
+@query(_TOTALS_SQL.replace("AS n_terms", "AS n_terms, 1::BIGINT AS n_vectors"))
+def embed_interrupted(spark, folder):
+    """A run that fails in the middle, and one that goes on with what is missing: one vector per text."""
+    rows = cleaned_documents(spark, folder)
+    store = scratch_path(spark, "embeddings")
+    with suppress(PythonException):
+        embed_missing(rows, store, interrupted_embedder, batch_size=4, save_every=64, attempts=2, wait=0)
+    # As a callable, so that it is the Python form that goes on.
+    done = embed_missing(rows, store, lambda texts: HashingEmbedder(EMBED_DIMENSIONS)(texts))
+    totals = embedding_totals(done)
+    return totals.groupBy("id", "n_buckets", "n_terms").agg(F.count("*").alias("n_vectors"))
+
+
 # --------------------------------------------------------------------------- streams
 
 
@@ -982,6 +1006,38 @@ def stream_scored_by_batch(spark, folder):
     return _stream_scored(spark, folder, broadcast_bytes=0)
 
 
+@query(f"WITH {CORPUS_SQL}, {split_sql('corpus')} SELECT id, split FROM splits")
+def split_increments(spark, folder):
+    """The split of a corpus that arrives in three parts, one of them twice."""
+    corpus = corpus_view(spark, folder).select("id", "label")
+    growing = GrowingSplit(spark, scratch_path(spark, "split"))
+    for part in (0, 1, 1, 2):
+        growing.add(corpus.filter(F.col("id") % 3 == part), f"part{part}")
+    return growing.assign(corpus).select("id", "split")
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id % 3, lang, doc_id) - 1 AS id, doc_id, lang FROM documents")
+def dense_ids_increments(spark, folder):
+    """Dense ids of documents that arrive in three parts, one of them twice."""
+    rows = table(spark, folder, "documents").select("doc_id", "lang")
+    growing = GrowingIds(spark, scratch_path(spark, "numbered"))
+    for part in (0, 1, 1, 2):
+        growing.add(rows.filter(F.col("doc_id") % 3 == part), f"part{part}", ["lang", "doc_id"])
+    return growing.rows("id BIGINT, doc_id BIGINT, lang STRING")
+
+
+@query(_BY_SOURCE_SQL.format(inputs=f"{CORPUS_SQL}, {RANDOM_SQL}"))
+def stream_metrics_by_source(spark, folder):
+    """Metrics of predictions that arrive in several files, one micro-batch each."""
+    path = scratch_path(spark, "predictions")
+    predictions = random_predictions(spark, folder).select("id", "label", "source_model", "prediction", "confidence")
+    predictions.repartition(3, "id").write.parquet(path)
+    arriving = spark.readStream.schema(predictions.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    state = GrowingMetrics(spark, scratch_path(spark, "metrics"))
+    stream_metrics(arriving, state, scratch_path(spark, "state")).awaitTermination()
+    return state.by_source()
+
+
 # --------------------------------------------------------------------------- checks
 
 

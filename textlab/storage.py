@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -54,3 +56,53 @@ def file_system(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri)
+
+
+class Batches:
+    """Tables in a folder that grow by named batches.
+
+    ``log`` has a line for each batch, with its name and what its writer notes.  It is written
+    when all tables of a batch are, so a batch that failed half-way is never read and is
+    written over when it comes again; one that is in the log is not written again.  One
+    writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, note: str):
+        self.spark = spark
+        self.path = path.rstrip("/")
+        self._schema = f"batch STRING, {note}"
+
+    def log(self) -> list:
+        """A row per batch: one for each time that something was added."""
+        try:
+            return self.spark.read.schema(self._schema).parquet(f"{self.path}/log").collect()
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return []
+
+    def holds(self, batch: str) -> bool:
+        return any(row["batch"] == batch for row in self.log())
+
+    def folder(self, table: str, batch: str) -> str:
+        return f"{self.path}/{table}/batch={batch}"
+
+    def write(self, table: str, batch: str, rows: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
+        """A table of a batch that is not in the log yet; gives a reader of the copy."""
+        path = self.folder(table, batch)
+        rows.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def commit(self, batch: str, *note) -> None:
+        line = self.spark.createDataFrame([(batch, *note)], self._schema)
+        line.coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+
+    def read(self, table: str, schema, batches: Sequence[str] | None = None) -> DataFrame:
+        """Rows of the batches in the log, or of some of them."""
+        known = sorted({row["batch"] for row in self.log()})
+        wanted = [b for b in known if batches is None or b in batches]
+        if not wanted:
+            return self.spark.createDataFrame([], schema)
+        paths = [self.folder(table, b) for b in wanted]
+        found = self.spark.read.schema(schema).option("basePath", f"{self.path}/{table}").parquet(*paths)
+        return found.drop("batch")

@@ -1,4 +1,4 @@
-"""Incremental forms: normalize, embed and score files as they arrive.
+"""Incremental forms: normalize, embed, score, split, number and evaluate rows as they arrive.
 
 Each returns a started query.  With the default trigger it works off what is there and
 ends; the checkpoint makes the next run take only what is new.
@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from textlab.operators.candidates import CandidateStore, prepared
 from textlab.operators.classify import knn_vote
 from textlab.operators.embed import Embedder, embed
+from textlab.operators.increments import GrowingIds, GrowingMetrics, GrowingSplit
 from textlab.operators.knn import BROADCAST_BYTES
 from textlab.operators.normalize import accepted, align_social
 from textlab.storage import materialize
@@ -90,3 +91,30 @@ def stream_score(
         .trigger(**trigger)
         .start()
     )
+
+
+def _each_batch(rows: DataFrame, add: Callable[[DataFrame, str], None], checkpoint: str, trigger: dict) -> StreamingQuery:
+    """Hand every micro-batch over under its number, so that a repeated one is known."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        # Read several times below; what stands upstream runs once.
+        add(materialize(batch, "arrived"), str(batch_id))
+
+    return rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def stream_split(rows: DataFrame, split: GrowingSplit, checkpoint: str, *, trigger: dict = NOW) -> StreamingQuery:
+    """Take arriving ``id, label`` rows into a split; ``split.assign`` then gives the split of the union."""
+    return _each_batch(rows.select("id", "label"), split.add, checkpoint, trigger)
+
+
+def stream_ids(
+    rows: DataFrame, ids: GrowingIds, checkpoint: str, *, order_by: list[str] | None = None, trigger: dict = NOW
+) -> StreamingQuery:
+    """Number arriving rows densely, each exactly once."""
+    return _each_batch(rows, lambda batch, name: ids.add(batch, name, order_by), checkpoint, trigger)
+
+
+def stream_metrics(predictions: DataFrame, state: GrowingMetrics, checkpoint: str, *, trigger: dict = NOW) -> StreamingQuery:
+    """Take arriving predictions into the metrics; earlier ones are never read again."""
+    return _each_batch(predictions, state.add, checkpoint, trigger)
