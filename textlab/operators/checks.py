@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from textlab.operators.knn import knn_join
+from textlab.functions.vectors import l2_normalize
 
-# How many neighbours the self-match check looks at, and the similarity it asks for.
-SELF_MATCH_K = 1
+# Fixed value: the similarity that the self-match check asks for.
 SELF_MATCH_SCORE = 0.99
+# Directions that agree to so many digits are the same.
+DIRECTION_DIGITS = 12
 
 
 def check_alignment(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:
@@ -48,19 +49,24 @@ def check_predictions(records: DataFrame, predictions: DataFrame, key: str = "id
 
 
 def check_self_match(
-    train: DataFrame,
-    *,
-    k: int = SELF_MATCH_K,
-    min_score: float = SELF_MATCH_SCORE,
-    key: str = "id",
-    vector: str = "embedding",
-    **knn_options,
+    train: DataFrame, *, min_score: float = SELF_MATCH_SCORE, key: str = "id", vector: str = "embedding"
 ) -> DataFrame:
-    """Share of candidate rows whose nearest neighbour is the row itself."""
-    found = knn_join(train, train, k, query_id=key, train_id=key, vector=vector, **knn_options)
-    own = (F.col("tid") == F.col("qid")) & (F.col("score") > min_score)
-    hits = found.filter(F.col("rank") == 1).agg(
-        F.count("*").alias("n_rows"), F.coalesce(F.sum(own.cast("bigint")), F.lit(0)).alias("n_self")
+    """Share of candidate rows whose nearest neighbour is the row itself.
+
+    A vector is most similar to itself, with a score of 1, unless it has no direction.  What can
+    stand before it is a copy with a smaller id, so of each group of rows with one direction
+    exactly one matches itself: no row has to be searched, and groups of any size are
+    counted before they meet.
+    """
+    # Whole numbers, so that 0.0 and -0.0 are one; a row without a direction is in no group.
+    scale = 10.0**DIRECTION_DIGITS
+    listed = F.transform(l2_normalize(F.col(vector)), lambda x: F.round(x * scale).cast("bigint").cast("string"))
+    direction = F.when(F.exists(vector, lambda x: x != 0), F.unhex(F.sha2(F.array_join(listed, ","), 256)))
+    groups = train.select(key, direction.alias("_direction")).groupBy("_direction").agg(F.count("*").alias("_n"))
+    matches = F.col("_direction").isNotNull() & F.lit(min_score < 1.0)
+    hits = groups.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"),
+        F.coalesce(F.sum(matches.cast("bigint")), F.lit(0)).alias("n_self"),
     )
     return hits.select(
         "n_rows",

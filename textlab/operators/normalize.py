@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -55,6 +56,7 @@ def _column(name: str | None) -> Column:
 
 
 def _no_rows(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    warnings.warn(f"skipped a table without a text column; it has {', '.join(df.columns)}", stacklevel=3)
     fields = [f.split() for f in ALIGNED_SCHEMA.split(", ")]
     empty = [F.lit(None).cast(kind.lower()).alias(name) for name, kind in fields]
     return df.filter(F.lit(False)).select(*empty, *keep)

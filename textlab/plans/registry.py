@@ -22,6 +22,7 @@ from textlab.operators.embed import HashingEmbedder, embed, embed_missing
 from textlab.operators.increments import GrowingIds, GrowingMetrics, GrowingSplit
 from textlab.operators.knn import knn_join
 from textlab.plans import evaluation, training
+from textlab.sources import readers, writers
 from textlab.sources.readers import read_answers, read_csv_folder, spread
 from textlab.storage import materialize, scratch_path
 from textlab.streaming.streams import stream_embed, stream_metrics, stream_normalize, stream_score
@@ -1103,3 +1104,93 @@ def json_sources(spark, folder):
     path = scratch_path(spark, "raw-json")
     raw_answers(spark, folder).write.json(path)
     return normalize.explode_answers(read_answers(spark, path)).drop("answer_pos")
+
+
+# --------------------------------------------------------------------------- written and read back
+
+
+@query(f"WITH {MERGED_SQL} SELECT id, text, label, source_model, platform, dataset FROM corpus")
+def corpus_written(spark, folder):
+    path = scratch_path(spark, "corpus-json")
+    writers.write_corpus(merged_corpus(spark, folder), path)
+    return readers.read_corpus(spark, path)
+
+
+@query(f"WITH {ADVERSARIAL_SQL} SELECT * FROM adversarial")
+def adversarial_csv(spark, folder):
+    """The adversarial export as a CSV file of its own."""
+    path = scratch_path(spark, "adversarial-csv")
+    raw_adversarial(spark, folder).write.options(header=True, quote='"', escape='"', quoteAll=True).csv(path)
+    aligned = normalize.align_adversarial(readers.read_csv(spark, path), keep=["k"])
+    return normalize.accepted(aligned, keep=["k"]).withColumn("k", F.col("k").cast("bigint"))
+
+
+_SPLITS_WRITTEN_SQL = f"WITH {CORPUS_SQL}, {split_sql('corpus')} SELECT id, split FROM splits"
+
+
+@query(_SPLITS_WRITTEN_SQL)
+def splits_written(spark, folder):
+    path = scratch_path(spark, "splits")
+    writers.write_splits(splits.stratified_split(corpus_view(spark, folder)), path)
+    return readers.read_splits(spark, path).select("id", "split")
+
+
+@query(_SPLITS_WRITTEN_SQL)
+def split_map_written(spark, folder):
+    """The split as JSON objects, read back at their separators."""
+    path = scratch_path(spark, "split-map")
+    writers.write_split_map(splits.stratified_split(corpus_view(spark, folder)), path)
+    return readers.read_split_map(spark, path)
+
+
+@query(f"WITH {_SCENARIOS_SQL} SELECT scenario, id FROM scenarios")
+def scenarios_written(spark, folder):
+    path = scratch_path(spark, "scenarios")
+    writers.write_scenarios(scenario_members(spark, folder).select("scenario", "id"), path)
+    return spark.read.parquet(path).select(F.col("scenario").cast("string").alias("scenario"), "id")
+
+
+@query(f"WITH {_DOCS_SQL}, {_records_sql('labelled', 'train')} SELECT split, variant, instruction, output FROM records")
+def instructions_written(spark, folder):
+    path = scratch_path(spark, "instructions")
+    writers.write_instructions(training.training_records(*prompt_inputs(spark, folder)), path)
+    return spark.read.json(path).select("split", "variant", "instruction", "output")
+
+
+@query(_BY_SOURCE_SQL.format(inputs=f"{CORPUS_SQL}, {RANDOM_SQL}"))
+def metrics_written(spark, folder):
+    path = scratch_path(spark, "metrics-json")
+    found = metrics.metrics_by_source(random_predictions(spark, folder))
+    writers.write_metrics(found, path)
+    return spark.read.schema(found.schema).json(path)
+
+
+@query(
+    f"""WITH {CORPUS_SQL}, {split_sql('corpus')},
+train AS (SELECT c.id, c.label FROM corpus c JOIN splits s ON c.id = s.id WHERE split = 'train'),
+smaller AS (SELECT min(n) AS m FROM (SELECT count(*) AS n FROM train GROUP BY label)),
+drawn AS (SELECT id, row_number() OVER (PARTITION BY label ORDER BY md5('42-' || id)) AS r FROM train)
+SELECT id FROM drawn, smaller WHERE r <= m"""
+)
+def ids_written(spark, folder):
+    path = scratch_path(spark, "ids")
+    writers.write_ids(undersample(spark, folder), path)
+    return spark.read.parquet(path)
+
+
+@query(_TOTALS_SQL)
+def embeddings_written(spark, folder):
+    path = scratch_path(spark, "vectors")
+    embed(cleaned_documents(spark, folder), HashingEmbedder(EMBED_DIMENSIONS)).write.parquet(path)
+    return embedding_totals(readers.read_embeddings(spark, path))
+
+
+@query("SELECT doc_id, text, lang, doc_id % 10 = 0 AS held_out FROM documents")
+def dataset_exported(spark, folder):
+    """Two splits flattened into one folder of JSON lines; a second export leaves it alone."""
+    path = scratch_path(spark, "export")
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", (F.col("doc_id") % 10 == 0).alias("held_out"))
+    parts = {"train": docs.filter(~F.col("held_out")), "test": docs.filter("held_out")}
+    writers.export_dataset(parts, path)
+    writers.export_dataset({"test": parts["test"]}, path)
+    return spark.read.schema(docs.schema).json(path)

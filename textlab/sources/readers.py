@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import re
+import warnings
 from collections.abc import Mapping
 from functools import reduce
 from urllib.parse import unquote
@@ -92,7 +93,7 @@ def _csv(spark: SparkSession, multiline: bool):
 def read_csv_folder(
     spark: SparkSession, folder: str, *, globs=("*.csv", "*.csv.gz"), multiline: bool = True
 ) -> list[DataFrame]:
-    """One DataFrame per distinct header among the CSV files of a folder; none without files.
+    """One DataFrame per distinct header among the CSV files of a folder; none, and a warning, without files.
 
     Files with the same header share a scan, so the plan grows with the number of layouts
     and not with the number of files.  ``multiline=False`` lets plain files be split, for
@@ -104,6 +105,8 @@ def read_csv_folder(
         header = header_names(spark, path)
         if header:  # an empty file has none
             by_header.setdefault(header, []).append(literal(path))
+    if not by_header:
+        warnings.warn(f"no files {', '.join(globs)} with a header in {folder}", stacklevel=2)
     tables = []
     for header, paths in by_header.items():
         schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
@@ -113,11 +116,12 @@ def read_csv_folder(
 
 
 def read_csv(spark: SparkSession, path: str, *, multiline: bool = True) -> DataFrame | None:
-    """A single CSV file, or None if it is absent."""
+    """A single CSV file, or None, and a warning, if it is absent."""
     try:
         return spread(with_scan_order(_csv(spark, multiline).csv(path)), *ORDER_COLUMNS)
     except AnalysisException as error:
         if _is_missing(error):
+            warnings.warn(f"no file {path}", stacklevel=2)
             return None
         raise
 
@@ -138,15 +142,23 @@ def read_corpus(spark: SparkSession, path: str, format: str = "json") -> DataFra
     return spark.read.schema(CORPUS_SCHEMA).format(format).load(path)
 
 
+# An entry of a split map between two separators, with the braces of the map at its ends.
+_ENTRY = r'^\s*\{?\s*"([^"\\]*)"\s*:\s*"([^"\\]*)"\s*\}?\s*$'
+
+
 def read_split_map(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object ``{"id": "split", ...}`` as rows.
+    """A JSON object ``{"id": "split", ...}``, or a folder of them, as rows.
 
-    The format is one JSON value per file, so a file is one row on its way in; the native
-    form of a split table is :func:`textlab.sources.writers.write_splits`.
+    The text is cut at the separator of entries, so one large object is read by many tasks.
+    Ids are whole numbers and names of splits are plain words; an entry that is not of this
+    form (a quoted comma, an escape, a value that is no text) is an error.
     """
-    whole = spark.read.option("wholetext", True).text(path)
-    entries = F.from_json("value", "MAP<STRING,STRING>")
-    return whole.select(F.explode(entries).alias("id", "split")).select(F.col("id").cast("bigint"), "split")
+    pieces = spark.read.option("lineSep", ",").text(path)
+    blank = F.col("value").rlike(r"^[\s{}]*$")
+    entry = F.regexp_extract("value", _ENTRY, 1), F.regexp_extract("value", _ENTRY, 2)
+    strange = F.raise_error(F.concat(F.lit("not an entry of a split map: "), F.substring("value", 1, 100)))
+    number = F.when(F.col("value").rlike(_ENTRY), entry[0].cast("bigint")).otherwise(strange.cast("bigint"))
+    return pieces.filter(~blank).select(number.alias("id"), entry[1].alias("split"))
 
 
 def read_splits(spark: SparkSession, path: str) -> DataFrame:
