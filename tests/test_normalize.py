@@ -111,3 +111,18 @@ def test_length_filter_reaches_the_scan_and_text_is_cleaned_once(spark):
     plan = N.accepted(N.align_social(df))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("[URL]") == 1
     assert "n_chars" not in plan.split("Relation")[0]
+
+
+def test_tallies_are_counted_while_rows_are_written(spark, tmp_path):
+    from textlab.operators.normalize import Tallies
+
+    posts = spark.createDataFrame(
+        [("one two three four five", "ai"), ("too short", "ai"), ("one two three four six", "odd"), (None, "human")],
+        "text STRING, label STRING",
+    )
+    nothing = spark.createDataFrame([(1,), (2,)], "note INT")
+    tallies = Tallies()
+    kept = tallies.align("posts", posts).unionByName(tallies.align("nothing", nothing))
+    kept.write.parquet(str(tmp_path / "corpus"))
+    assert spark.read.parquet(str(tmp_path / "corpus")).count() == 1
+    assert sorted(map(tuple, tallies.report(spark).collect())) == [("nothing", 2, 2, 0, 0), ("posts", 4, 2, 1, 1)]

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from textlab.functions import labels as L
 from textlab.functions.text import clean_text, has_words, na_to_null, strip
@@ -186,6 +186,57 @@ def accepted(aligned: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return aligned.filter(F.col("label").isNotNull()).select(*CORPUS_FIELDS, *keep)
 
 
+class Tallies:
+    """How many rows of each source were read, too short, unknown or accepted, counted while they are written.
+
+    ``align`` gives the accepted rows of a source.  When whatever writes them has run, once,
+    ``report`` has the counts; the sources are not read again.  A source without a text column
+    counts as read with everything skipped.
+    """
+
+    def __init__(self):
+        self._seen: dict[str, tuple[Observation, Observation]] = {}
+
+    def align(
+        self,
+        name: str,
+        df: DataFrame,
+        align: Callable[..., DataFrame] = align_social,
+        *,
+        headers: Mapping[str, Sequence[str]] = SOCIAL_HEADERS,
+        min_words: int = MIN_WORDS,
+        keep: Sequence[str] = (),
+    ) -> DataFrame:
+        """The accepted rows of a source, which count under ``name``."""
+        text = discover_columns([c for c in df.columns if c not in keep], headers)["text"]
+        short = ~has_words(F.col(f"`{text}`"), min_words) if text else F.lit(True)
+        read, kept = self._seen[name] = Observation(), Observation()
+        seen = df.observe(read, F.count("*").alias("n_read"), F.count_if(short).alias("n_short"))
+        if text is None:
+            # Nothing is kept, but the rows go by, so that they are counted.
+            aligned = seen.select(
+                *[F.lit(None).cast(kind.lower()).alias(c) for c, kind in (f.split() for f in ALIGNED_SCHEMA.split(", "))], *keep
+            )
+            aligned = aligned.withColumn("raw_label", F.lit(None).cast("string"))
+        else:
+            aligned = align(seen, headers=headers, min_words=min_words, keep=keep)
+        known = F.col("label").isNotNull()
+        long = F.lit(text is not None)
+        aligned = aligned.observe(
+            kept, F.count_if(~known & long).alias("n_unknown"), F.count_if(known).alias("n_accepted")
+        )
+        return accepted(aligned, keep)
+
+    def report(self, spark: SparkSession) -> DataFrame:
+        """``source, n_read, n_short, n_unknown, n_accepted``; waits for the rows to be written."""
+        names = ("n_read", "n_short", "n_unknown", "n_accepted")
+        rows = []
+        for source, (read, kept) in self._seen.items():
+            counts = {**read.get, **kept.get}
+            rows.append((source, *[counts[n] for n in names]))
+        return spark.createDataFrame(rows, "source STRING, " + ", ".join(f"{n} BIGINT" for n in names))
+
+
 def unknown_label_tally(aligned: DataFrame, top: int = 10) -> DataFrame:
     """The ``top`` most frequent unrecognized labels, with the total over all of them."""
     counts = aligned.filter(F.col("label").isNull()).groupBy("raw_label").agg(F.count("*").alias("n"))

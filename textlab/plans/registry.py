@@ -379,6 +379,30 @@ def unknown_labels(spark, folder):
     return normalize.unknown_label_tally(social.unionByName(adversarial))
 
 
+@query(
+    f"""WITH {ADVERSARIAL_SQL},
+p_raw AS (SELECT *, {clean_sql('raw_text')} AS text FROM (
+  SELECT d.text AS raw_text, CASE WHEN quality = 1 THEN 'ai' WHEN quality = 0 THEN 'human' ELSE 'nan' END AS raw_label
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)),
+p_label AS (SELECT *, {label_sql('raw_label')} AS label FROM p_raw WHERE {words_sql('text')} >= 5)
+SELECT 'social' AS source, (SELECT count(*) FROM p_raw) AS n_read, (SELECT count(*) FROM p_raw) - count(*) AS n_short,
+       count(*) FILTER (label IS NULL) AS n_unknown, count(label) AS n_accepted FROM p_label
+UNION ALL
+SELECT 'adversarial', (SELECT count(*) FROM raw_adv), (SELECT count(*) FROM raw_adv) - count(*),
+       count(*) FILTER (label IS NULL), count(label) FROM adv_label"""
+)
+def corpus_tallies(spark, folder):
+    """Rows read, too short, unknown and accepted, counted while both sources are written."""
+    tallies = normalize.Tallies()
+    social = tallies.align("social", raw_posts(spark, folder), keep=["k"])
+    adversarial = tallies.align(
+        "adversarial", raw_adversarial(spark, folder), normalize.align_adversarial,
+        headers=normalize.ADVERSARIAL_HEADERS, keep=["k"],
+    )
+    writers.write_corpus(normalize.combine(social, adversarial), scratch_path(spark, "tallied"), "parquet")
+    return tallies.report(spark)
+
+
 @query(
     f"""WITH {MERGED_SQL},
 long AS (SELECT 'label' AS dimension, label AS value FROM corpus

@@ -12,6 +12,8 @@ from urllib.parse import unquote
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from textlab.sources.csv_cut import cut_csv
+
 CORPUS_SCHEMA = (
     "id BIGINT, text STRING, label STRING, source_model STRING, platform STRING, dataset STRING"
 )
@@ -91,14 +93,15 @@ def _csv(spark: SparkSession, multiline: bool):
 
 
 def read_csv_folder(
-    spark: SparkSession, folder: str, *, globs=("*.csv", "*.csv.gz"), multiline: bool = True
+    spark: SparkSession, folder: str, *, globs=("*.csv", "*.csv.gz"), multiline: bool = True, cut: bool = True
 ) -> list[DataFrame]:
     """One DataFrame per distinct header among the CSV files of a folder; none, and a warning, without files.
 
     Files with the same header share a scan, so the plan grows with the number of layouts
-    and not with the number of files.  ``multiline=False`` lets plain files be split, for
-    data known to have no quoted line breaks; gzip files are one task each in any case.
-    Few files are dealt out to all cores.
+    and not with the number of files.  Plain files are cut into records wherever a task begins
+    (see ``csv_cut``); ``cut=False`` reads each whole, for files with quotes of another kind.
+    ``multiline=False`` is for data known to have no quoted line breaks.  A compressed file
+    is one task in any case.  Few files are dealt out to all cores.
     """
     by_header: dict[tuple[str, ...], list[str]] = {}
     for path in list_files(spark, folder, *globs):
@@ -110,8 +113,12 @@ def read_csv_folder(
     tables = []
     for header, paths in by_header.items():
         schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
-        table = with_scan_order(_csv(spark, multiline).schema(schema).csv(paths))
-        tables.append(spread(table, *ORDER_COLUMNS))
+        plain = [p for p in paths if p.endswith(".csv")] if multiline and cut else []
+        whole = [p for p in paths if p not in plain]
+        parts = [cut_csv(spark, plain, header)] if plain else []
+        if whole:
+            parts.append(spread(with_scan_order(_csv(spark, multiline).schema(schema).csv(whole)), *ORDER_COLUMNS))
+        tables.append(reduce(DataFrame.unionByName, parts))
     return tables
 
 
