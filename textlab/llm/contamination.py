@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from textlab.llm.batches import slices
+from textlab.storage import materialize
 
 #: Words in a window.
 WINDOW = 13
@@ -100,21 +102,16 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+def _blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
     """The test items in blocks whose texts fill ``block_bytes`` or are a single item."""
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0))
     total = items.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     if total <= block_bytes:
-        parts = [items]
-    else:
-        # Blocks by hash of the item: about half full on average, so that the fullest one fits.
-        n = int(2 * total // block_bytes) + 1
-        block = F.pmod(F.xxhash64(F.col(item_col)), F.lit(n))
-        parts = [items.filter(block == i) for i in range(n)]
-    for part in parts:
-        rows = [tuple(r) for r in part.select(item_col, text_col).toLocalIterator()]
-        if rows or len(parts) == 1:
-            yield rows
+        return [items]
+    # Blocks by hash of the item: about half full on average, so that the fullest one fits.
+    n = int(2 * total // block_bytes) + 1
+    stored = materialize(items.select(item_col, text_col, F.pmod(F.xxhash64(item_col), F.lit(n)).alias("_block")), "items")
+    return [stored.filter(F.col("_block") == i) for i in range(n)]
 
 
 def contamination(
@@ -132,27 +129,33 @@ def contamination(
     ``hits`` are the merged word ranges (end exclusive) that lie in an occurrence of a window
     of a test item, ``items`` the ids of the items whose windows occur, ascending.  An item
     shorter than a window is one window; an item without words has none.  Null and empty
-    documents have no words and no hits.  Repeated rows give repeated results as long as the
-    test set is one block, and one row per id beyond.  Empty tables are fine on both sides.
+    documents have no words and no hits.  Rows that repeat an id, or have none, are rows of
+    their own.  Empty tables are fine on both sides.
 
     A test set beyond ``block_bytes`` is taken in blocks, each against all documents; the
-    findings of the blocks are then put together per document.
+    findings of a block are stored before the next one is fetched, and then put together per row.
     """
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    found: list[DataFrame] = []
-    for block in _blocks(items, item_col, text_col, block_bytes):
-        found.append(source.mapInArrow(_finder(NgramSet(block, window)), f"_id {kind}, {_SCHEMA}"))
-    result = found[0]
-    if len(found) > 1:
-        for more in found[1:]:
-            result = result.unionByName(more)
-        result = result.groupBy("_id").agg(
-            F.max("n_words").alias("n_words"),
-            F.flatten(F.collect_list("hits")).alias("hits"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        ).select("_id", "n_words", _merged_column("hits").alias("hits"), "items")
-    return result.withColumnRenamed("_id", id_col)
+    blocks = _blocks(items, item_col, text_col, block_bytes)
+    fetch = lambda block: [tuple(r) for r in block.select(item_col, text_col).toLocalIterator()]
+    if len(blocks) == 1:
+        found = source.mapInArrow(_finder(NgramSet(fetch(blocks[0]), window)), f"_id {kind}, {_SCHEMA}")
+        return found.withColumnRenamed("_id", id_col)
+    # Stored, so that a row keeps its number.
+    numbered = materialize(source.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    asked = numbered.select(F.col("_row").alias("_id"), "_text")
+    results = []
+    for block in blocks:
+        if listed := fetch(block):
+            results.append(materialize(asked.mapInArrow(_finder(NgramSet(listed, window)), f"_id bigint, {_SCHEMA}"), "hits"))
+    merged = reduce(DataFrame.unionByName, results).groupBy(F.col("_id").alias("_row")).agg(
+        F.max("n_words").alias("n_words"),
+        F.flatten(F.collect_list("hits")).alias("hits"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
+    merged = merged.select("_row", "n_words", _merged_column("hits").alias("hits"), "items")
+    return numbered.select("_row", F.col("_id").alias(id_col)).join(merged, "_row").drop("_row")
 
 
 def _merged_column(name: str):
