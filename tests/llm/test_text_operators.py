@@ -98,6 +98,23 @@ def test_contamination(spark):
     assert {r["n_words"] for r in contamination.contamination(docs, none).collect()} == {e[1] for e in expected}
 
 
+def test_contamination_of_repeated_rows_is_the_same_in_any_blocks(spark):
+    rng = random.Random(31)
+    items = [(i, " ".join(words(rng, 20))) for i in range(8)]
+    listed = [(i % 3 or None, items[i % 8][1] if i % 2 else "clean text") for i in range(12)]
+    docs = spark.createDataFrame(listed, "doc_id bigint, text string")
+    tests = spark.createDataFrame(items, "item_id bigint, text string")
+    expected = sorted(
+        ((i, *cases.contamination(t, items)) for i, t in listed), key=lambda r: (r[0] is None, str(r))
+    )
+    for block in (1 << 20, 300, 1):
+        found = contamination.contamination(docs, tests, block_bytes=block).select(
+            "doc_id", "n_words", contamination.hit_words().alias("n"), "items"
+        )
+        got = sorted((tuple(r) for r in found.collect()), key=lambda r: (r[0] is None, str(r)))
+        assert got == expected
+
+
 @pytest.mark.parametrize("bundle", [None, 2])
 def test_repeats(spark, monkeypatch, bundle):
     rng = random.Random(11)
@@ -128,8 +145,8 @@ def test_column_order():
             assert common[k] == min(shared, 4)
 
 
-@pytest.mark.parametrize("small", [minmax.SMALL, 4])
-def test_near_duplicates(spark, monkeypatch, small):
+@pytest.mark.parametrize("block", [minmax.BLOCK, 3])
+def test_near_duplicates(spark, monkeypatch, block):
     rng = random.Random(13)
     texts = []
     for size in (1, 2, 5, 20, 60, 60, 200):
@@ -140,8 +157,34 @@ def test_near_duplicates(spark, monkeypatch, small):
                 copy[rng.randrange(size)] = f"w{rng.randrange(10**6)}"
             texts.append(" ".join(copy).replace("w1", rng.choice(["w1", "W1"])))
     texts += EDGE
-    monkeypatch.setattr(minmax, "SMALL", small)
+    monkeypatch.setattr(minmax, "BLOCK", block)
     found = minmax.near_duplicates(cases.awkward(spark, texts))
     expected = [(i, n, c, i == c) for i, (n, c) in enumerate(cases.near_components(texts, 85, 3))]
     assert rows_by_id(found, "n_shingles", "component_id", "kept") == expected
     assert minmax.near_duplicates(cases.awkward(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("block", [minmax.BLOCK, 4])
+def test_rare_shingles_find_every_link_between_components(spark, monkeypatch, block):
+    """Variants of a few texts, each in a component of its own or of a few: all links must be proposed."""
+    monkeypatch.setattr(minmax, "BLOCK", block)
+    rng = random.Random(23)
+    sets, parts = [], []
+    for size in (7, 20, 60):
+        base = [rng.randrange(1, 2**62) for _ in range(size)]
+        for i in range(40):
+            kept = rng.sample(base, size - rng.randrange(size // 6 + 1))
+            sets.append(sorted({*kept, *(rng.randrange(1, 2**62) for _ in range(rng.randrange(size // 8 + 1)))}))
+            parts.append(i % 5 + 100 * size)
+    listed = [(i, len(s), parts[i]) for i, s in enumerate(sets)]
+    members = spark.createDataFrame(listed, "rep bigint, n bigint, component bigint")
+    packed = [(i, bytearray(b"".join(x.to_bytes(8, "little") for x in s))) for i, s in enumerate(sets)]
+    found = minmax._apart(members, spark.createDataFrame(packed, "rep bigint, set binary"), 85)
+    pairs = [(r["a"], r["b"]) for r in found.collect()]
+    assert len(pairs) == len(set(pairs)) and all(parts[a] != parts[b] and a < b for a, b in pairs)
+    for i, x in enumerate(sets):
+        for j in range(i):
+            y = sets[j]
+            both = len({*x} & {*y})
+            if parts[i] != parts[j] and 100 * both >= 85 * (len(x) + len(y) - both):
+                assert (j, i) in pairs

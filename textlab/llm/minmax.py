@@ -5,10 +5,9 @@ one, so a signature costs half the hash evaluations of plain MinHash.  Bands of
 bands of maxima propose pairs; every link is confirmed on the full shingle sets.
 
 Equal sets are one class from the start, so copies never meet each other.  A bucket of a
-band is compared with one pivot first, never pairwise.  What the pivot leaves apart is then
-compared pairwise in small buckets.  In large ones, only documents that differ from the
-pivot in a common shingle can still be linked (see :func:`_differences`), which gives new,
-smaller buckets, and so on until none is left.  No link between proposed pairs is lost.
+band is compared with one pivot, never pairwise.  Where that leaves members in different
+components, they meet once more by their rarest shingles: linked sets share one of those, at
+places that both allow (see :func:`_apart`).  No link between proposed pairs is lost.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from textlab.llm.batches import slices
 from textlab.storage import materialize
@@ -31,8 +30,8 @@ SHINGLE = 3
 #: threshold is proposed with probability 1 - (1 - 0.85 ** 6) ** 28 = 0.999998.
 BAND = 6
 BANDS = 28
-#: Buckets up to this size are compared pairwise.
-SMALL = 256
+#: Members of a bucket of rare shingles that are held against as many others at a time.
+BLOCK = 2048
 
 _SEED = 20_011
 
@@ -150,51 +149,67 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(_verifier(percent), "a bigint, b bigint")
 
 
-def _differences(stars: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """New buckets from old ones: members that differ from their pivot in the same shingle.
+def _apart(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` among ``rep, n, component`` that may be linked and are in different components.
 
-    Let D(x) be the shingles in which x differs from the pivot p.  If D(x) and D(y) have
-    nothing in common, x and y differ in |D(x)| + |D(y)| shingles.  If they are linked all
-    the same, each of them is close enough to p to be linked with it: 185 * (|D(x)| + |D(y)|)
-    <= 15 * (|x| + |y|) and |y| <= |p| + |D(y)| give 185 * |D(x)| <= 15 * (|x| + |p|).  Both
-    are then in the pivot's component already.  So only members that share an element of
-    their differences are left to compare.
-
-    Linked members also differ in at most t = 15 / 185 * (|x| + |x| / 0.85) shingles, so
-    D(x) and D(y) share all but t of the elements of D(x).  Of all elements, ordered by how
-    rare they are among the members, the first t + 1 of D(x) are then enough to meet y.
-    What many members have in common never makes a bucket unless it is all they differ in.
-
-    Returns ``bucket, rep, n, pop``; members nearest to the old pivot are the first choice
-    for a new one.
+    Shingles are ordered from the rarest to the most common among the members.  Linked sets x
+    and y share at least s = percent / (100 + percent) * (|x| + |y|) shingles, and all that stands
+    before their first common one in x is not in y.  So at most |x| - s stand before it in x,
+    at most |y| - s in y, and it is among the first |x| - percent / 100 * |x| + 1 of x whatever
+    the size of y.  What a whole group has in common comes last in the order and seldom
+    brings two of its members together.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches, 64):
-            keys, members, counts, pivots = [], [], [], []
-            columns = (rows.column(c).to_pylist() for c in ("a", "b", "a_set", "b_set"))
-            for pivot, member, x, y in zip(*columns):
-                apart = np.setxor1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)
-                with np.errstate(over="ignore"):
-                    key = _mix(apart * np.uint64(0x9E3779B97F4A7C15) + np.int64(pivot).astype(np.uint64))
-                keys.append(key.view(np.int64))
-                for out, value in ((members, member), (counts, len(key)), (pivots, pivot)):
-                    out.append(np.full(len(key), value, np.int64))
-            parts = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (keys, members, counts, pivots))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts], ["bucket", "rep", "d", "pivot"])
-
-    pairs = stars.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    apart = _with_sets(pairs, sets).select("a", "b", "a_set", "b_set")
-    apart = apart.mapInArrow(run, "bucket bigint, rep bigint, d bigint, pivot bigint")
-    apart = materialize(apart.distinct(), "apart")
-    common = materialize(apart.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1"), "common")
-    own = Window.partitionBy("pivot", "rep")
-    # Elements that nobody shares come first in the order, and are not among the rows.
-    place = F.col("d") - F.count("*").over(own) + F.row_number().over(own.orderBy("c", "bucket"))
-    most = F.floor((100 - percent) / (100 + percent) * F.col("n") * (1 + 100 / percent)) + 1
-    met = apart.join(common, "bucket").join(sizes, "rep").withColumn("_place", place)
-    met = met.filter(F.col("_place") <= most)
-    return met.select("bucket", "rep", "n", (-F.col("d")).alias("pop"))
+            listed = [np.frombuffer(s, np.int64) for s in rows.column("set").to_pylist()]
+            each = pa.array(np.repeat(np.arange(len(listed)), [len(x) for x in listed]))
+            flat = pa.array(np.concatenate(listed) if listed else np.empty(0, np.int64))
+            others = [rows.column(c).take(each) for c in ("rep", "n", "component")]
+            yield pa.RecordBatch.from_arrays([flat, *others], ["bucket", "rep", "n", "component"])
+
+    schema = "bucket bigint, rep bigint, n bigint, component bigint"
+    held = members.join(sets.hint("merge"), "rep").select("rep", "n", "component", "set").mapInArrow(elements, schema)
+    held = materialize(held, "elements")
+    # A bucket with a single component has nothing to bring together, but counts in the order.
+    common = held.groupBy("bucket").agg(
+        F.count("*").alias("c"), F.min("component").alias("_lo"), F.max("component").alias("_hi")
+    )
+    common = materialize(common.filter("c > 1"), "common")
+    own = Window.partitionBy("rep")
+    # Shingles that nobody shares come first in the order, and are not among the rows.
+    before = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("c", "bucket")) - 1
+    placed = held.join(common, "bucket").withColumn("before", before)
+    placed = placed.filter((100 * F.col("before") <= (100 - percent) * F.col("n")) & (F.col("_lo") < F.col("_hi")))
+    placed = materialize(placed.select("bucket", "rep", "n", "component", "before"), "placed")
+    sizes = placed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = placed.join(materialize(sizes, "sizes"), "bucket")
+    # Block i meets block j in the group (i, j), i <= j.
+    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    placed = placed.withColumn("_mine", mine).withColumn("_other", other)
+    placed = placed.withColumns({"i": F.least("_mine", "_other"), "j": F.greatest("_mine", "_other")})
+
+    def meet(rows: pa.Table) -> pa.Table:
+        rep, n, component, before, block = (
+            rows.column(c).to_numpy() for c in ("rep", "n", "component", "before", "_mine")
+        )
+        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        found = []
+        for x in left.tolist():
+            y = right[right > x] if i == j else right
+            both = n[x] + n[y]
+            good = (component[y] != component[x]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            good &= (100 + percent) * (n[x] - before[x]) >= percent * both
+            good &= (100 + percent) * (n[y] - before[y]) >= percent * both
+            y = y[good]
+            found.append(np.stack((np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y]))))
+        pairs = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+        return pa.table([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    grouped = placed.select("bucket", "i", "j", "rep", "n", "component", "before", "_mine").groupBy("bucket", "i", "j")
+    return grouped.applyInArrow(meet, "a bigint, b bigint").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -250,20 +265,6 @@ def _open(rows: DataFrame, known: DataFrame) -> DataFrame:
     return placed.join(materialize(spread.filter("_lo < _hi").select("bucket"), "spread"), "bucket")
 
 
-def _pairs_within(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of small buckets that are still apart and were not compared as pivot and member."""
-    member = F.struct("rep", "n", "component")
-    # The pivot was compared with all members.  Bands often propose the same members again.
-    listed = rows.filter("rep != pivot").groupBy("bucket").agg(F.array_sort(F.collect_list(member)).alias("m"))
-    one = listed.select("m").distinct().select("m", F.posexplode("m").alias("at", "x"))
-
-    def partner(y: Column) -> Column:
-        return (F.col("x.component") != y["component"]) & _comparable(F.col("x.n"), y["n"], percent)
-
-    partners = F.filter(F.slice("m", F.col("at") + 2, F.lit(SMALL)), partner)
-    return one.select(F.col("x.rep").alias("a"), F.explode(partners["rep"]).alias("b")).distinct()
-
-
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -301,32 +302,26 @@ def near_duplicates(
     members = materialize(members.join(shared, "bucket"), "members")
     popular = materialize(members.groupBy("rep").agg(F.sum("size").alias("pop")), "popular")
     rows = materialize(_stars(members.drop("size").join(popular, "rep")), "stars")
-    numbers = rows.select("rep").distinct()
-    wanted = source.join(numbers.hint("merge"), source["_id"] == numbers["rep"], "left_semi")
-    sets = materialize(wanted.mapInArrow(_setter(words), "rep bigint, set binary"), "sets")
     sizes = classes.select("rep", "n")
-
-    links = None
-    while True:
-        pairs = (
-            rows.filter((F.col("rep") != F.col("pivot")) & _comparable(F.col("n"), F.col("pivot_n"), percent))
-            .select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-            .distinct()
-        )
-        found = _verified(pairs, sets, percent)
-        links = materialize(found if links is None else links.union(found), "found")
-        known = components(links)
-        left = materialize(_open(rows, known), "open")
-        small = _pairs_within(left.filter(F.col("size") <= SMALL), percent)
-        links = materialize(links.union(_verified(small, sets, percent)), "found")
-        large = left.filter((F.col("size") > SMALL) & (F.col("rep") != F.col("pivot")))
-        if large.isEmpty():
-            break
-        deeper = materialize(_differences(large, sets, sizes, percent), "deeper")
-        deeper = materialize(_open(deeper, known).drop("component"), "deeper")
-        if deeper.isEmpty():
-            break
-        rows = materialize(_stars(deeper), "stars")
+    pairs = (
+        rows.filter((F.col("rep") != F.col("pivot")) & _comparable(F.col("n"), F.col("pivot_n"), percent))
+        .select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+        .distinct()
+    )
+    pairs = materialize(pairs, "pairs")
+
+    def sets_of(numbers: DataFrame) -> DataFrame:
+        wanted = source.join(numbers.distinct().hint("merge"), source["_id"] == F.col("rep"), "left_semi")
+        return materialize(wanted.mapInArrow(_setter(words), "rep bigint, set binary"), "sets")
+
+    ends = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep")))
+    links = materialize(_verified(pairs, sets_of(ends), percent), "found")
+    # Of two members one is the pivot, and they were compared.
+    left = _open(rows.filter("size > 2").select("bucket", "rep"), components(links))
+    left = materialize(left.select("rep", "component").distinct().join(sizes, "rep"), "left")
+    if not left.isEmpty():
+        sets = sets_of(left.select("rep"))
+        links = links.union(materialize(_verified(_apart(left, sets, percent), sets, percent), "found"))
 
     merged = components(links)
     of_class = classes.select("set_key", "rep").join(merged, "rep", "left")
