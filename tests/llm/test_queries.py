@@ -63,7 +63,6 @@ def test_personal_data(spark, texts):
 
 def test_token_records(spark, texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     start, expected = 0, []
     for doc, text in texts.items():
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
