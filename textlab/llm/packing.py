@@ -1,11 +1,11 @@
-"""Longest-pack-first packing over the histogram of piece lengths.
+"""Shortest-pack-first packing over the histogram of piece lengths.
 
 Documents are encoded, ended and cut into pieces of at most a sequence.  Only the histogram
 of piece lengths (one count per length) is packed: lengths are placed longest first, each
-into the kind of pack that is fullest up to now and still has room, and packs of a kind are
-counted, never listed.  The packing patterns
-are then joined back to the pieces by rank: the r-th piece of a length goes into the slot
-that holds rank r.
+into the kind of pack that is shortest up to now, if it has room (or, with
+``longest_pack=True``, the longest that has), and packs of a kind are counted, never listed.
+The packing patterns are then joined back to the pieces by rank: the r-th piece of a length
+goes into the slot that holds rank r.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from textlab.storage import materialize
 SEQUENCE = 1024
 
 
-def pack_histogram(counts: dict[int, int], size: int = SEQUENCE) -> list[tuple[int, list[int]]]:
+def pack_histogram(counts: dict[int, int], size: int = SEQUENCE, longest_pack: bool = False) -> list[tuple[int, list[int]]]:
     """Packing patterns as (number of packs, lengths in them), longest lengths first.
 
     Every piece lies in exactly one pack, no pack exceeds ``size``.  The number of patterns
@@ -35,7 +35,8 @@ def pack_histogram(counts: dict[int, int], size: int = SEQUENCE) -> list[tuple[i
     for length in sorted((n for n, c in counts.items() if c), reverse=True):
         left = counts[length]
         while left:
-            room = next((r for r in range(length, size) if open_packs.get(r)), None)
+            rooms = range(length, size) if longest_pack else range(size - 1, length - 1, -1)
+            room = next((r for r in rooms if open_packs.get(r)), None)
             if room is None:
                 # New packs take as many pieces of this length as fit.
                 per = size // length
@@ -122,6 +123,7 @@ def pack_documents(
     *,
     end_id: int,
     size: int = SEQUENCE,
+    longest_pack: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -130,6 +132,7 @@ def pack_documents(
     ``ids`` are little-endian unsigned 32-bit.  Null and empty texts are their end id alone;
     rows that repeat an id are packed as documents of their own; an empty table gives no
     rows.  Sequences are numbered from 0 and filled from offset 0 without gaps.
+    ``longest_pack`` fills the fullest pack that has room first, which leaves a little less padding.
 
     Only counts leave the tasks before the last step: one per length for the driver (at most
     ``size`` rows) and one per task and length for the ranks.
@@ -137,41 +140,33 @@ def pack_documents(
     pieces = token_pieces(docs, tokenizer, end_id=end_id, size=size, id_col=id_col, text_col=text_col)
     counts = materialize(pieces.groupBy("length", "_task").agg(F.count("*").alias("_count")), "lengths")
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("_count")).collect()}
-    table = slots(pack_histogram(histogram, size))
+    table = slots(pack_histogram(histogram, size, longest_pack))
     # A window per length over tasks: a thousandth of the counts each.
     earlier = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         "length", "_task", F.coalesce(F.sum("_count").over(earlier), F.lit(0)).alias("_before")
     )
-    ranked = pieces.join(offsets, ["length", "_task"]).select(
-        "_id", "start", "length", "ids", "doc_tokens", (F.col("_before") + F.col("_place")).alias("_rank")
+    ranked = pieces.join(offsets, ["length", "_task"]).withColumn("_rank", F.col("_before") + F.col("_place"))
+    # Only lengths and ranks go through Python; ids stay where they are.
+    placed = ranked.withColumn("_at", _placer(table)("length", "_rank"))
+    return placed.select(
+        F.col("_id").alias(id_col), "start", "length", "ids", "doc_tokens", "_at.sequence_id", "_at.offset"
     )
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return ranked.mapInArrow(_placer(table), schema).withColumnRenamed("_id", id_col)
 
 
 def _placer(table: np.ndarray):
     """Looks ranks up in the slots; at most a few slots per length and pattern are shipped."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(length: pa.Array, rank: pa.Array) -> pa.Array:
         bounds = np.searchsorted(table[:, 0], np.arange(table[:, 0].max(initial=0) + 2))
-        for rows in batches:
-            length = rows.column("length").to_numpy()
-            rank = rows.column("_rank").to_numpy()
-            at = np.empty(len(rank), np.int64)
-            for n in np.unique(length):
-                own = length == n
-                lo, hi = bounds[n], bounds[n + 1]
-                at[own] = lo + np.searchsorted(table[lo:hi, 1], rank[own], "right") - 1
-            found = table[at]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(rows.column(c) for c in ("_id", "start", "length", "ids", "doc_tokens")),
-                    pa.array(found[:, 2] + rank - found[:, 1]),
-                    pa.array(np.ascontiguousarray(found[:, 3])),
-                ],
-                ["_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
-            )
-
-    return run
+        lengths, ranks = length.to_numpy(), rank.to_numpy()
+        at = np.empty(len(ranks), np.int64)
+        for n in np.unique(lengths):
+            own = lengths == n
+            lo, hi = bounds[n], bounds[n + 1]
+            at[own] = lo + np.searchsorted(table[lo:hi, 1], ranks[own], "right") - 1
+        found = table[at]
+        columns = [pa.array(found[:, 2] + ranks - found[:, 1]), pa.array(np.ascontiguousarray(found[:, 3]))]
+        return pa.StructArray.from_arrays(columns, ["sequence_id", "offset"])
+
+    return F.arrow_udf(place, "sequence_id bigint, offset bigint")
