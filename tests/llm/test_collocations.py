@@ -68,11 +68,19 @@ def test_shorter_phrases_and_absorption(spark):
     assert sorted(map(tuple, found.collect())) == brute(rows, 8, 3, 40, 60)
 
 
-def test_products_beyond_64_bits(spark):
-    rows = [("en", "a b")] * 3
-    many = docs(spark, rows).withColumn("n", C.F.lit(1))
-    found = C.collocations(many, min_count=3).collect()
-    assert [tuple(r) for r in found] == [("en", 1, "a b", 3, 3, 3, 6, 2000)]
+def test_pairs_only(spark):
+    rows = corpus(7)
+    found = C.collocations(docs(spark, rows), min_count=10, longest=2)
+    assert sorted(map(tuple, found.collect())) == brute(rows, 10, 2, 2000)
+
+
+def test_products_beyond_64_bits(spark, monkeypatch):
+    n = 3 * 10**9
+    codes = bytearray(C.word_codes([b"a", b"b", b"c"]).tobytes())
+    parsed = spark.createDataFrame([("en", "a b c", 3, n, codes)], C.DICTIONARY)
+    monkeypatch.setattr(C, "parse", lambda *a, **k: parsed)
+    found = C.collocations(docs(spark, [("en", "a b c")])).collect()
+    assert [tuple(r) for r in found] == [("en", 1, "a b c", n, n, n, 3 * n, 3000)]
 
 
 def test_empty_table(spark):

@@ -6,10 +6,12 @@ the next one, as far as a phrase can reach.  A phrase belongs to the chunk in wh
 word stands before the overlap, so each occurrence is counted once.  The parse is a dictionary
 of distinct chunks with their frequencies: a passage that occurs a million times is read once.
 
-Phrases are counted in the dictionary, weighted, in three rounds: words, pairs of frequent
-words, and longer phrases of frequent pairs.  A phrase cannot be frequent unless its parts
-are, so leaving the others out changes no result.  What is frequent travels to the tasks as a
-bitmap of fixed size; a bit that is set by chance costs work and changes nothing either.
+Phrases are counted in the dictionary, weighted.  Three rounds count 64-bit marks in place of
+phrases: of words, of pairs of frequent words, and of longer phrases of frequent pairs.  A
+phrase cannot be frequent unless its parts are, and a mark is there at least as often as each of
+its phrases, so what these rounds leave out changes no result.  What is left is counted as it is
+written, in a last round.  What is frequent travels to the tasks as a bitmap of fixed size; a
+bit that is set by chance costs work and changes nothing either.
 """
 
 from __future__ import annotations
@@ -20,7 +22,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from textlab.llm.batches import slices
@@ -48,8 +49,10 @@ _FOLD = bytes.maketrans(
 )
 #: Spark's bitmap functions work on pieces of this many bits.
 _PIECE_BITS = 8 * 4096
-#: Distinct phrases that a task holds before it passes them on.
+#: Distinct marks that a task holds before it passes them on.
 _HELD = 1 << 20
+#: Rows of the dictionary that are looked at together.
+_ROWS = 8192
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -57,12 +60,25 @@ def tokens(text: str | None) -> list[bytes]:
     return text.encode().translate(_FOLD).replace(_BREAK, b" . ").split() if text else []
 
 
-def cut(listed: list[bytes], trigger: int = TRIGGER, longest: int = MAX_CHUNK, reach: int = LONGEST - 1) -> Iterator[tuple[bytes, int]]:
+def word_codes(listed: list[bytes]) -> np.ndarray:
+    """A 32-bit hash of each token, and 0 for a break alone."""
+    codes = np.fromiter(map(zlib.crc32, listed), np.uint32, len(listed))
+    codes[codes == 0] = 1
+    # Of tokens of one byte no other has this hash.
+    single = np.fromiter(map(len, listed), np.int64, len(listed)) == 1
+    codes[single & (codes == zlib.crc32(_BREAK))] = 0
+    return codes
+
+
+def cut(
+    listed: list[bytes], trigger: int = TRIGGER, longest: int = MAX_CHUNK, reach: int = LONGEST - 1
+) -> Iterator[tuple[bytes, int]]:
     """Chunks of a token stream, and how many tokens of each are its own.
 
     The other tokens, ``reach`` at most and none beyond a break, are the beginning of the next chunk.
     """
-    begins = [i for i, t in enumerate(listed) if zlib.crc32(t) % trigger == 0]
+    codes = word_codes(listed)
+    begins = np.flatnonzero((codes % np.uint32(trigger) == 0) & (codes > 0)).tolist()
     bounds = [0]
     for at in [*begins, len(listed)]:
         while at - bounds[-1] > longest:
@@ -76,8 +92,21 @@ def cut(listed: list[bytes], trigger: int = TRIGGER, longest: int = MAX_CHUNK, r
         yield b" ".join(listed[start:end] + over), end - start
 
 
+def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the dictionary with the codes of their tokens, which the rounds work on."""
+    for rows in slices(batches, _ROWS):
+        chunks = rows.column("chunk").cast(pa.binary()).to_pylist()
+        lengths = np.fromiter((c.count(b" ") + 1 for c in chunks), np.int64, len(chunks))
+        codes = word_codes(b" ".join(chunks).split(b" ")) if chunks else np.empty(0, np.uint32)
+        ends = np.append(0, np.cumsum(lengths)) * 4
+        packed = pa.Array.from_buffers(
+            pa.large_binary(), len(chunks), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(codes.tobytes())]
+        )
+        yield pa.RecordBatch.from_arrays([*rows.columns, packed.cast(pa.binary())], [*rows.schema.names, "codes"])
+
+
 def parse(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", trigger: int = TRIGGER) -> DataFrame:
-    """The dictionary of the parse: ``lang, chunk, own, n``, stored."""
+    """The dictionary of the parse: ``lang, chunk, own, n, codes``, stored."""
     source = docs.select(
         F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANGUAGE)).alias("_lang"),
         F.col(text_col).cast("string").alias("_text"),
@@ -95,23 +124,68 @@ def parse(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", tr
             yield pa.RecordBatch.from_arrays(columns, ["lang", "chunk", "own"])
 
     found = source.mapInArrow(run, "lang string, chunk string, own int")
-    return materialize(found.groupBy("lang", "chunk", "own").agg(F.count("*").alias("n")), "parse")
-
-
-def _mark(lang: str, phrase: bytes) -> int:
-    """A hash of a phrase, as a signed long."""
-    return xxhash.xxh64_intdigest(phrase, zlib.crc32(lang.encode())) - (1 << 63)
-
-
-def _is_set(bits: np.ndarray, mark: int) -> bool:
-    at = mark % (8 * len(bits))
-    return bool(bits[at >> 3] >> (at & 7) & 1)
-
-
-def bitmap(frequent: DataFrame, size: int = BITMAP_BITS) -> np.ndarray:
-    """A bit for the mark of every frequent phrase; ``size`` bits, whatever their number."""
-    at = F.pmod("mark", F.lit(size))
-    pieces = frequent.groupBy(F.floor(at / _PIECE_BITS).cast("int").alias("piece")).agg(
+    merged = found.groupBy("lang", "chunk", "own").agg(F.count("*").alias("n"))
+    return materialize(merged.mapInArrow(_encoded, DICTIONARY), "parse")
+
+
+DICTIONARY = "lang string, chunk string, own int, n bigint, codes binary"
+
+
+_K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _K1
+    return x ^ (x >> np.uint64(29))
+
+
+class _Chunks:
+    """Some rows of the dictionary: their tokens in a row, and the marks of the phrases that begin at each."""
+
+    def __init__(self, rows: pa.RecordBatch, longest: int):
+        self.langs = rows.column("lang").to_pylist()
+        packed = rows.column("codes").to_pylist()
+        lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        words = np.frombuffer(b"".join(packed), np.uint32).astype(np.uint64)
+        codes = np.array([zlib.crc32(lang.encode()) for lang in self.langs], np.uint64)
+        self.row = np.repeat(np.arange(len(packed)), lengths)
+        place = np.arange(len(self.row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self.own = place < rows.column("own").to_numpy()[self.row]
+        self.n = rows.column("n").to_numpy()
+        with np.errstate(over="ignore"):
+            self.marks = [_mix(words * _K1 + _K2 * codes[self.row])]
+            self.whole = [words != 0]
+            for k in range(1, longest):
+                end = len(words) - k
+                if end <= 0:
+                    break
+                self.marks.append(_mix(self.marks[-1][:end] * _K2 + words[k:]))
+                # All words, and the last one in the row of the first.
+                self.whole.append(self.whole[-1][:end] & self.whole[0][k:] & (self.row[:end] == self.row[k:]))
+
+    def holding(self, size: int, words: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
+        """Where phrases of ``size`` words begin whose words (and pairs, if given) are frequent."""
+        if size > len(self.marks):
+            return np.zeros(0, bool)
+        end = len(self.marks[size - 1])
+        out = self.whole[size - 1].copy()
+        for bits, step in ((words, 1), (pairs, 2)):
+            if bits is not None and size >= step:
+                hit = _are_set(bits, self.marks[step - 1])
+                for i in range(size - step + 1):
+                    out &= hit[i : i + end]
+        return out & self.own[:end]
+
+
+def _are_set(bits: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    at = marks & np.uint64(8 * len(bits) - 1)
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def bitmap(marks: DataFrame, size: int = BITMAP_BITS) -> np.ndarray:
+    """A bit for each mark; ``size`` bits (a power of two), whatever the number of marks."""
+    at = F.col("mark").bitwiseAND(F.lit(size - 1))
+    pieces = marks.groupBy(F.floor(at / _PIECE_BITS).cast("int").alias("piece")).agg(
         # The function counts positions within a piece from 1.
         F.bitmap_construct_agg(F.bitmap_bit_position(F.pmod(at, F.lit(_PIECE_BITS)) + 1)).alias("bits")
     )
@@ -122,64 +196,62 @@ def bitmap(frequent: DataFrame, size: int = BITMAP_BITS) -> np.ndarray:
     return out
 
 
-class _Tally:
-    """Phrases and their counts in a task, for one language at a time."""
-
-    def __init__(self):
-        self.counts: dict[str, Counter] = {}
+def _summed(marks: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct marks and the sums of their numbers."""
+    if not len(marks):
+        return marks, n
+    order = np.argsort(marks)
+    marks, n = marks[order], n[order]
+    starts = np.flatnonzero(np.append(True, marks[1:] != marks[:-1]))
+    return marks[starts], np.add.reduceat(n, starts)
 
-    def full(self) -> bool:
-        return sum(map(len, self.counts.values())) > _HELD
-
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        for lang, found in self.counts.items():
-            listed = list(found.items())
-            for at in range(0, len(listed), 50_000):
-                part = listed[at : at + 50_000]
-                phrases = [p for p, _ in part]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([lang] * len(part), pa.string()),
-                        pa.array(phrases, pa.binary()).cast(pa.string()),
-                        pa.array([_mark(lang, p) for p in phrases], pa.int64()),
-                        pa.array([n for _, n in part], pa.int64()),
-                    ],
-                    ["lang", "phrase", "mark", "n"],
-                )
-        self.counts = {}
 
+def _frequent_marks(
+    chunks: DataFrame,
+    sizes: range,
+    min_count: int,
+    find: Callable[[_Chunks, int], np.ndarray],
+    name: str,
+    parts: Callable[[_Chunks], np.ndarray] | None = None,
+) -> DataFrame:
+    """``mark`` of what occurs ``min_count`` times among the phrases that ``find`` points at.
 
-def _counted(chunks: DataFrame, count: Callable[[Counter, str, list[bytes], int, int], None]) -> DataFrame:
-    """``lang, phrase, mark, n`` over the dictionary; ``count`` adds a chunk's phrases to a tally."""
+    With them come the marks of both words of the pairs that ``parts`` points at, however few.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = _Tally()
-        for rows in slices(batches):
-            columns = [rows.column(c).to_pylist() for c in ("lang", "own", "n")]
-            texts = rows.column("chunk").cast(pa.binary()).to_pylist()
-            for lang, own, n, chunk in zip(*columns, texts):
-                count(tally.counts.setdefault(lang, Counter()), lang, chunk.split(b" "), own, n)
-            if tally.full():
-                yield from tally.rows()
-        yield from tally.rows()
-
-    rows = chunks.mapInArrow(run, "lang string, phrase string, mark bigint, n bigint")
-    return rows.groupBy("lang", "phrase").agg(F.first("mark").alias("mark"), F.sum("n").alias("n"))
-
-
-def _add(found: Counter, phrases: list[bytes], n: int) -> None:
-    if n == 1:
-        found.update(phrases)
-    else:
-        for phrase in phrases:
-            found[phrase] += n
-
-
-def _count_words(found: Counter, lang: str, words: list[bytes], own: int, n: int) -> None:
-    mine = [w for w in words[:own] if w != _BREAK]
-    _add(found, mine, n)
-    # The empty phrase stands for all words.
-    found[b""] += n * len(mine)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            return _summed(np.concatenate([m for m, _ in held]), np.concatenate([n for _, n in held]))
+
+        def rows(marks: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(marks), 50_000):
+                part = slice(at, at + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(marks[part].view(np.int64)), pa.array(n[part])], ["mark", "n"])
+
+        fresh = 0
+        for part in slices(batches, _ROWS):
+            found = _Chunks(part, max(sizes, default=2))
+            for size in sizes:
+                at = np.flatnonzero(find(found, size))
+                if len(at):
+                    held.append((found.marks[size - 1][at], found.n[found.row[at]]))
+                    fresh += len(at)
+            if parts is not None:
+                at = parts(found)
+                marks = np.unique(found.marks[0][np.append(at, at + 1)])
+                held.append((marks, np.full(len(marks), min_count)))
+            if fresh > _HELD:
+                held = [merged()]
+                fresh = 0
+                if len(held[0][0]) > 4 * _HELD:
+                    yield from rows(*held.pop())
+        if held:
+            yield from rows(*merged())
+
+    counted = chunks.mapInArrow(run, "mark bigint, n bigint").groupBy("mark").agg(F.sum("n").alias("n"))
+    return materialize(counted.filter(F.col("n") >= min_count).select("mark"), name)
 
 
 def frequent_phrases(
@@ -192,69 +264,69 @@ def frequent_phrases(
     trigger: int = TRIGGER,
     bitmap_bits: int = BITMAP_BITS,
 ) -> DataFrame:
-    """``lang, phrase, size, n`` of all phrases of up to ``longest`` words that occur ``min_count`` times.
+    """``lang, phrase, size, n`` of all phrases of 2 to ``longest`` words that occur ``min_count`` times.
 
-    The empty phrase (size 0) has the number of all words of a language.  Stored.
+    Of single words those are there that a frequent pair is made of.  The empty phrase (size 0) has the number of all words of a language.  Stored.
     """
     if not 2 <= longest <= LONGEST:
         raise ValueError(f"phrases have 2 to {LONGEST} words")
+    if bitmap_bits < 8 or bitmap_bits & (bitmap_bits - 1):
+        raise ValueError("the bits of the bitmap are a power of two, 8 or more")
     chunks = parse(docs, text_col=text_col, lang_col=lang_col, trigger=trigger)
-    session = docs.sparkSession.sparkContext
-    enough = (F.col("n") >= min_count) | (F.col("phrase") == "")
-
-    words = materialize(_counted(chunks, _count_words).filter(enough), "words")
-    frequent_words = session.broadcast(bitmap(words, bitmap_bits))
-
-    def looked_up(known: dict[str, dict[bytes, bool]], bits: np.ndarray, lang: str, phrases: list[bytes]) -> list[bool]:
-        """Which phrases are frequent; a task remembers what it has looked up."""
-        mine = known.setdefault(lang, {})
-        try:
-            return [mine[p] for p in phrases]
-        except KeyError:
-            if len(mine) > _HELD:
-                mine.clear()
-            for p in phrases:
-                if p not in mine:
-                    mine[p] = p != _BREAK and _is_set(bits, _mark(lang, p))
-            return [mine[p] for p in phrases]
-
-    def neighbours(listed: list[bytes], good: list[bool], most: int) -> list[bytes]:
-        """The pairs of frequent words among the first ones."""
-        return [a + b" " + b for a, b, x, y in zip(listed[:most], listed[1:], good, good[1:]) if x and y]
-
-    def count_pairs() -> Callable:
-        known: dict[str, dict[bytes, bool]] = {}
-
-        def count(found: Counter, lang: str, listed: list[bytes], own: int, n: int) -> None:
-            good = looked_up(known, frequent_words.value, lang, listed)
-            _add(found, neighbours(listed, good, own), n)
-
-        return count
-
-    pairs = materialize(_counted(chunks, count_pairs()).filter(enough), "pairs")
-    frequent_pairs = session.broadcast(bitmap(pairs, bitmap_bits))
-
-    def count_longer() -> Callable:
-        known: dict[str, dict[bytes, bool]] = {}
-        known_pairs: dict[str, dict[bytes, bool]] = {}
-
-        def count(found: Counter, lang: str, listed: list[bytes], own: int, n: int) -> None:
-            good = looked_up(known, frequent_words.value, lang, listed)
-            pairs = neighbours(listed, good, len(listed))
-            hits = iter(looked_up(known_pairs, frequent_pairs.value, lang, pairs))
-            linked = [x and y and next(hits) for x, y in zip(good, good[1:])]
-            for i, hit in enumerate(linked[:own]):
-                size = 2
-                while hit and size < longest and i + size <= len(linked) and linked[i + size - 1]:
-                    size += 1
-                    found[b" ".join(listed[i : i + size])] += n
-
-        return count
-
-    longer = materialize(_counted(chunks, count_longer()).filter(enough), "longer") if longest > 2 else pairs.limit(0)
-    everything = words.unionByName(pairs).unionByName(longer).drop("mark")
+    ship = lambda marks: docs.sparkSession.sparkContext.broadcast(bitmap(marks, bitmap_bits))
+    step = lambda *how: ship(_frequent_marks(chunks, how[0], min_count, *how[1:]))
+
+    words = step(range(1, 2), lambda c, size: c.whole[0] & c.own, "words")
+    pairs = step(range(2, 3), lambda c, size: c.holding(size, words.value), "pairs")
+    # Of the words, those are wanted that frequent pairs are made of.
+    rest = step(
+        range(3, longest + 1),
+        lambda c, size: c.holding(size, words.value, pairs.value),
+        "rest",
+        lambda c: np.flatnonzero(c.holding(2, words.value, pairs.value)),
+    )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in slices(batches, _ROWS):
+            part = _Chunks(rows, longest)
+            tokens_of = b" ".join(rows.column("chunk").cast(pa.binary()).to_pylist()).split(b" ")
+            times = part.n[part.row]
+            code: dict[str, int] = {}
+            lang_of = np.array([code.setdefault(lang, len(code)) for lang in part.langs])[part.row]
+            places = []
+            for size in range(1, longest + 1):
+                good = part.holding(size, words.value, pairs.value)
+                if size != 2 and len(good):
+                    good &= _are_set(rest.value, part.marks[size - 1])
+                places.append(np.flatnonzero(good))
+            mine = part.whole[0] & part.own
+            for lang, number in code.items():
+                # The empty phrase stands for all words.
+                found = Counter({b"": int(times[mine & (lang_of == number)].sum())})
+                for size, at in enumerate(places, 1):
+                    at = at[lang_of[at] == number]
+                    more = times[at] > 1
+                    if size == 1:
+                        listed = [tokens_of[i] for i in at.tolist()]
+                    else:
+                        listed = [b" ".join(tokens_of[i : i + size]) for i in at.tolist()]
+                    found.update(listed)
+                    for i in np.flatnonzero(more).tolist():
+                        found[listed[i]] += int(times[at[i]]) - 1
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([lang] * len(found), pa.string()),
+                        pa.array(list(found), pa.binary()).cast(pa.string()),
+                        pa.array(list(found.values()), pa.int64()),
+                    ],
+                    ["lang", "phrase", "n"],
+                )
+
+    counted = chunks.mapInArrow(count, "lang string, phrase string, n bigint")
+    counted = counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    counted = materialize(counted.filter((F.col("n") >= min_count) | (F.col("phrase") == "")), "phrases")
     size = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
-    return everything.withColumn("size", size)
+    return counted.withColumn("size", size)
 
 
 def collocations(
