@@ -973,8 +973,10 @@ def embed_interrupted(spark, folder):
 
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table as a stream, whether it is one file or a folder of them."""
     schema = table(spark, folder, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    # A stream does not take a plain path that is a file, but takes a pattern that matches one.
+    return spark.readStream.schema(schema).parquet(f"{folder}/{{{name}}}.parquet")
 
 
 def finish(stream, spark: SparkSession, path: str) -> DataFrame:
