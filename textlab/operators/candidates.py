@@ -28,18 +28,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from textlab.operators.knn import (
     BLOCK_BYTES,
     BROADCAST_BYTES,
-    Candidates,
-    _emit,
     _matrix,
     _result_schema,
-    block_rows,
     broadcast_matcher,
     carried_bytes,
-    grid,
+    grid_rows,
     merge_top_k,
+    search_cells,
     vector_shape,
 )
-from textlab.operators.knn_pruned import Cells, choose_pivots, locate, route
+from textlab.operators.knn_pruned import Cells, asked_of, barred, bundled_grid, choose_pivots, locate, route, to_bundles
 from textlab.storage import materialize, scratch_path
 
 _CELLS = "batch STRING, cell INT, n BIGINT, low DOUBLE, high DOUBLE, dims INT"
@@ -141,59 +139,71 @@ class CandidateStore:
             .agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("dims").alias("dims"))
             .collect()
         )
-        cells, held = Cells(self.pivots, table), {r["_cell"]: r["n"] for r in table}
+        cells = Cells(self.pivots, table)
         dims = max((r["dims"] for r in table), default=0)
+        bundle = cells.bundles(grid_rows(int(cells.sizes.sum()), dims, block_bytes))
         enough = k + 1 if exclude_self else k
 
-        def one_pass(asking: DataFrame, bar: str | None) -> DataFrame:
-            routed = materialize(route(asking, query_id, vector, cells, enough, bar), "routed")
-            asked = {r["_cell"]: r["n"] for r in routed.groupBy("_cell").agg(F.count("*").alias("n")).collect()}
+        def one_pass(asking: DataFrame, bar: str | None, carried: list[str]) -> DataFrame:
+            if not len(bundle):
+                return self.spark.createDataFrame([], _result_schema(asking, self.rows([]), query_id, self.id_col, carried))
+            wanted = asked_of(route(asking, query_id, vector, cells, enough, bar))
+            sent = to_bundles(asking, query_id, vector, cells, bundle, enough, bar)
+            asked = asked_of(sent)
             if sum(asked.values()) * dims * 8 <= ship_bytes:
-                return self._shipped(routed, list(asked), k, query_id, vector, exclude_self)
-            rows = block_rows(block_bytes, dims)
-            blocks = [(c, -(-n // rows), -(-held[c] // rows)) for c, n in asked.items()]
-            sizes = self.spark.createDataFrame(blocks, "_cell INT, q_blocks INT, t_blocks INT")
-            candidates = self.rows(list(asked)).withColumnsRenamed({"cell": "_cell", self.vector: vector})
-            sized = (df.join(F.broadcast(sizes), "_cell") for df in (routed, candidates))
-            names = {"query_id": query_id, "train_id": self.id_col, "vector": vector}
-            pairs = max(1, sum(q * t for _, q, t in blocks))
-            return grid(*sized, k, pairs, exclude_self=exclude_self, carry=self.carry, **names)
-
-        first = materialize(merge_top_k(one_pass(queries, None), k).drop("rank"), "first")
-        bars = first.groupBy(F.col("qid").alias(query_id)).agg(
-            F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("_bar")
-        )
-        barred = queries.select(query_id, vector).join(bars, query_id, "left").fillna(float("-inf"), ["_bar"])
-        merged = merge_top_k(first.unionByName(one_pass(materialize(barred, "barred"), "_bar")), k)
+                return self._shipped(sent, cells, bundle, wanted, k, enough, query_id, vector, bar, exclude_self, carried)
+            candidates = self.rows(list(wanted)).withColumnRenamed(self.vector, vector)
+            names = {"query_id": query_id, "train_id": self.id_col, "vector": vector, "carry": carried}
+            return bundled_grid(
+                sent, candidates, "cell", cells, bundle, wanted, asked, dims, block_bytes, k, enough, bar, exclude_self=exclude_self, **names
+            )
+
+        first = merge_top_k(one_pass(queries, None, []), k)
+        asking = barred(queries, query_id, vector, first, k)
+        merged = merge_top_k(one_pass(asking, "_bar", self.carry), k)
         return materialize(merged.select("qid", "tid", "score", *self.carry, "rank"), "neighbours")
 
     def _shipped(
-        self, routed: DataFrame, cells: list[int], k: int, query_id: str, vector: str, exclude_self: bool
-    ) -> DataFrame:
-        """Score the candidates of some cells where they lie; the caller has checked the size of ``routed``."""
-        table = routed.toArrow()
+        self, sent: DataFrame, cells: Cells, bundle: np.ndarray, wanted: dict[int, int], k: int, enough: int,
+        query_id: str, vector: str, bar: str | None, exclude_self: bool, carry: list[str],
+    ) -> DataFrame:
+        """Score the candidates of some cells where they lie; the caller has checked the size of ``sent``."""
+        table = sent.toArrow()
         place = table.column("_cell").to_numpy()
         ids, matrix = table.column(query_id).to_numpy(), _matrix(table.column(vector))
-        asked = {c: (ids[place == c], matrix[place == c]) for c in cells}
-        shipped = self.spark.sparkContext.broadcast(asked)
-        train_id, carry, own = self.id_col, self.carry, self.vector
+        bars = table.column(bar).to_numpy() if bar else None
+        asked = {}
+        for b in np.unique(place):
+            at = np.flatnonzero(place == b)
+            asked[int(b)] = ids[at], matrix[at], None if bars is None else bars[at]
+        shipped, by_part = self.spark.sparkContext.broadcast(asked), cells.by_part(enough)
+        numbers = dict(zip(cells.ids.tolist(), bundle.tolist()))
+        train_id, own = self.id_col, self.vector
         names = [train_id, *carry]
-        schema = _result_schema(routed, self.rows([]), query_id, train_id, carry)
+        schema = _result_schema(sent, self.rows([]), query_id, train_id, carry)
 
         def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            masks = {}
             for batch in batches:
                 cell = batch.column("cell").to_numpy()
-                for c in np.unique(cell):
-                    rows = pa.Table.from_batches([batch]).take(pa.array(np.flatnonzero(cell == c)))
-                    found = Candidates(rows.column(train_id).to_numpy(), _matrix(rows.column(own)), k)
-                    query_ids, asking = shipped.value[int(c)]
-                    hits = _emit(pa.array(query_ids), rows, found, asking, k, exclude_self, names)
-                    for qid, (tid, *carried), score in hits:
-                        yield pa.RecordBatch.from_arrays(
-                            [qid, tid, pa.array(score), *carried], names=["qid", "tid", "score", *carry]
-                        )
-
-        return self.rows(cells).mapInArrow(match, schema)
+                of_batch = np.array([numbers[c] for c in cell.tolist()], dtype=np.int32)
+                for b in np.unique(of_batch):
+                    query_ids, asking, limits = shipped.value[int(b)]
+                    if b not in masks:
+                        masks[b] = by_part(asking, limits)
+                    at = np.flatnonzero(of_batch == b)
+                    rows = pa.Table.from_batches([batch]).take(pa.array(at))
+                    q, c, score = search_cells(
+                        query_ids, asking, rows.column(train_id).to_numpy(), _matrix(rows.column(own)), cell[at],
+                        masks[b], k, exclude_self,
+                    )
+                    picked = rows.select(names).take(pa.array(c))
+                    tid, *carried = (col.combine_chunks() for col in picked.columns)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(query_ids[q]), tid, pa.array(score), *carried], names=["qid", "tid", "score", *carry]
+                    )
+
+        return self.rows(list(wanted)).mapInArrow(match, schema)
 
 
 def prepared(

@@ -19,7 +19,7 @@ All score a pair with the same arithmetic, so they return the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,12 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_BYTES = 64 * 1024 * 1024
 # Most tasks a grid is dealt out to.
 MAX_TASKS = 20_000
+# Copies of a row that a grid lays out before blocks smaller than BLOCK_BYTES grow with the table.
+COPIES = 16
 # Scores held at once while a block pair is worked off.
-SCORE_BYTES = 64 * 1024 * 1024
+SCORE_BYTES = 16 * 1024 * 1024
+# Hits held at once while the cells of a block pair are worked off.
+HELD_HITS = 2_000_000
 # Vectors rescored at once in double precision.
 RESCORE_BYTES = 32 * 1024 * 1024
 
@@ -215,6 +219,52 @@ def block_rows(block_bytes: int, dims: int) -> int:
     return max(1, block_bytes // (8 * max(dims, 1)))
 
 
+def grid_rows(n: int, dims: int, block_bytes: int) -> int:
+    """Vectors in a block of a side of ``n`` rows.
+
+    A row meets every block of the other side, so blocks of a fixed small size would have a
+    table copied as many times as the other one has rows.  Blocks grow with their table, up
+    to ``BLOCK_BYTES``, to keep that to ``COPIES`` times.
+    """
+    grown = min(-(-n // COPIES), block_rows(BLOCK_BYTES, dims))
+    return max(block_rows(block_bytes, dims), grown)
+
+
+def search_cells(
+    query_ids: np.ndarray,
+    queries: np.ndarray,
+    ids: np.ndarray,
+    matrix: np.ndarray,
+    cell: np.ndarray,
+    wanted: Callable[[int], np.ndarray],
+    k: int,
+    exclude_self: bool,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Top k per query over the cells it wants, as (query position, candidate position, score)."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def best() -> tuple[np.ndarray, ...]:
+        if not held:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+        q, c, score = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((ids[c], -score, q))
+        q, c, score = q[order], c[order], score[order]
+        first = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return q[first], c[first], score[first]
+
+    for number in np.unique(cell):
+        asking = wanted(int(number))
+        if not len(asking):
+            continue
+        at = np.flatnonzero(cell == number)
+        found = Candidates(ids[at], matrix[at], k)
+        for q, c, score in found.search(query_ids[asking], queries[asking], k, exclude_self):
+            held.append((asking[q], at[found.rows[c]], score))
+            if sum(len(h[0]) for h in held) > HELD_HITS:
+                held[:] = [best()]
+    return best()
+
+
 def grid(
     queries: DataFrame,
     train: DataFrame,
@@ -226,12 +276,18 @@ def grid(
     vector: str,
     exclude_self: bool,
     carry: Sequence[str],
+    part: str | None = None,
+    bar: str | None = None,
+    wanted: Callable[[np.ndarray, np.ndarray | None], Callable[[int], np.ndarray]] | None = None,
 ) -> DataFrame:
     """Score queries against the candidates of the same ``_cell``, block pair by block pair.
 
     Either side also has ``q_blocks`` and ``t_blocks``, the cell's number of blocks; ``pairs``
     is the number of block pairs in all.  Gives the top k of each block pair as ``qid, tid,
     score, *carry``.
+
+    A cell may be made of parts, by the column ``part`` of ``train``.  ``wanted`` then gives for
+    query vectors, and their values of ``bar``, which of them each part has to be searched for.
     """
     # The work is in the pairs and not in the bytes, so their number decides how many tasks
     # there are; twice as many leaves few tasks with several pairs.
@@ -250,14 +306,23 @@ def grid(
 
     keys = ("_cell", "_qb", "_tb")
 
-    q = laid_out(queries, query_id, [], "_qb", "q_blocks", "_tb", "t_blocks")
-    t = laid_out(train, train_id, carry, "_tb", "t_blocks", "_qb", "q_blocks")
+    q = laid_out(queries, query_id, [bar] if bar else [], "_qb", "q_blocks", "_tb", "t_blocks")
+    t = laid_out(train, train_id, [*carry, part] if part else carry, "_tb", "t_blocks", "_qb", "q_blocks")
     schema = _result_schema(queries, train, query_id, train_id, carry)
     arrow_names = schema.names
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = []
-        if left.num_rows and right.num_rows:
+        if left.num_rows and right.num_rows and part:
+            ids, queries = left.column("_id").to_numpy(), _matrix(left.column("_v"))
+            bars = left.column(bar).to_numpy() if bar else None
+            q, c, scores = search_cells(
+                ids, queries, right.column("_id").to_numpy(), _matrix(right.column("_v")),
+                right.column(part).to_numpy(), wanted(queries, bars), k, exclude_self,
+            )
+            picked = right.select(["_id", *carry]).take(pa.array(c))
+            parts.append(pa.table([pa.array(ids[q]), picked.column(0), pa.array(scores), *picked.columns[1:]], names=arrow_names))
+        elif left.num_rows and right.num_rows:
             found = Candidates(right.column("_id").to_numpy(), _matrix(right.column("_v")), k)
             ids = left.column("_id").combine_chunks()
             hits = _emit(ids, right, found, _matrix(left.column("_v")), k, exclude_self, ["_id", *carry])
@@ -281,8 +346,7 @@ def merge_top_k(parts: DataFrame, k: int) -> DataFrame:
 def _knn_block(queries, train, k, query_id, train_id, vector, exclude_self, carry, block_bytes, shape):
     n_train, dims = shape
     n_query, _ = vector_shape(queries, vector)
-    rows = block_rows(block_bytes, dims)
-    q_blocks, t_blocks = max(1, -(-n_query // rows)), max(1, -(-n_train // rows))
+    q_blocks, t_blocks = (max(1, -(-n // grid_rows(n, dims, block_bytes))) for n in (n_query, n_train))
     one_cell = {"_cell": F.lit(0), "q_blocks": F.lit(q_blocks), "t_blocks": F.lit(t_blocks)}
     parts = grid(
         queries.withColumns(one_cell),
@@ -322,7 +386,8 @@ def knn_join(
 
     A candidate table is only shipped to the tasks if vectors and carried columns together
     are within ``broadcast_bytes``; beyond that ``"broadcast"`` too takes the block form, which
-    gives the same rows.  ``"auto"`` never takes ``"pruned"``, which pays on clustered vectors.
+    gives the same rows.  Blocks of fewer than ``BLOCK_BYTES`` grow with the tables (see
+    :func:`grid_rows`).  ``"auto"`` never takes ``"pruned"``, which pays on clustered vectors.
 
     Measuring ``train`` (and in the block form ``queries``) is a job of its own; give
     stored tables.  Ids are whole numbers, unique on either side.

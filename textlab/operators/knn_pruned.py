@@ -5,8 +5,12 @@
 2. Each query is searched in the nearest cells that together hold k candidates.  The k-th
    score found there is a bar that any further neighbour has to reach.
 3. Angles obey the triangle inequality, so the angle between query and pivot and the range of
-   the cell bound the best score the cell can offer.  The query goes on to the cells whose
-   bound reaches its bar, and to no others.
+   the cell bound the best score the cell can offer.  The query is scored in the cells whose
+   bound reaches its bar, and in no others.
+
+Neighbouring cells travel as one bundle of about a block, so a query is laid out once for each
+bundle that holds a cell it wants, never once for each cell.  Which cells those are is worked out
+again where query and bundle meet.
 
 Nothing is left out: a cell is skipped only if its bound proves that it cannot contribute.
 Cells of any size are cut into blocks, so a cell that holds a third of all candidates, or is
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from textlab.functions.text import seeded_hash
-from textlab.operators.knn import _matrix, _unit, block_rows, grid, merge_top_k
+from textlab.operators.knn import _matrix, _result_schema, _unit, grid, grid_rows, merge_top_k
 from textlab.storage import materialize
 
 # Bounds the pivot matrix, the cell table and the work of locating a vector.
@@ -113,38 +117,137 @@ class Cells:
         np.put_along_axis(mask, order, needed, axis=1)
         return mask
 
+    def wanted(self, queries: np.ndarray, k: int, bars: np.ndarray | None) -> np.ndarray:
+        """The home cells of each query or, given its bar, all cells that may reach it, as a mask.
+
+        With bars a rounding error does not matter, as ``SLACK`` covers it; home cells may differ
+        by one where bounds are equal but for rounding, so nothing but bars is taken from them.
+        """
+        best = self.bounds(_unit(queries))
+        return self.home(best, k) if bars is None else best >= bars[:, None] - SLACK
+
+    def by_part(self, k: int):
+        """What :func:`textlab.operators.knn.grid` takes as ``wanted``."""
+
+        def wanted(queries: np.ndarray, bars: np.ndarray | None):
+            mask = np.concatenate(
+                [self.wanted(queries[i : i + 1024], k, None if bars is None else bars[i : i + 1024])
+                 for i in range(0, len(queries), 1024)]
+            )
+            return lambda cell: np.flatnonzero(mask[:, np.searchsorted(self.ids, cell)])
+
+        return wanted
+
+    def bundles(self, rows: int) -> np.ndarray:
+        """For each cell the number of its bundle: a chain of nearest pivots, cut after some ``rows``."""
+        directed = np.flatnonzero(self.ids != NO_DIRECTION)
+        rest = np.flatnonzero(self.ids == NO_DIRECTION)
+        chain: list[int] = []
+        if len(directed):
+            unit = self.pivots[self.ids[directed]]
+            free = np.zeros(len(directed))
+            at = 0
+            while True:
+                chain.append(int(directed[at]))
+                free[at] = -np.inf
+                if len(chain) == len(directed):
+                    break
+                at = int((unit @ unit[at] + free).argmax())
+        order = np.array([*chain, *rest], dtype=np.int64)
+        before = np.cumsum(self.sizes[order]) - self.sizes[order]
+        number = np.empty(len(order), dtype=np.int32)
+        number[order] = before // rows
+        return number
+
 
 def route(queries: DataFrame, query_id: str, vector: str, cells: Cells, k: int, bar: str | None) -> DataFrame:
-    """Send each query to its home cells or, given its bar, to the others that may reach it."""
+    """The ids of the queries of each cell: their home cells or, given their bar, all that may reach it."""
+    columns = [query_id, vector] + ([bar] if bar else [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                bars = part.column(bar).to_numpy(zero_copy_only=False) if bar else None
+                rows, cols = np.nonzero(cells.wanted(_matrix(part.column(vector)), k, bars))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(query_id).take(pa.array(rows)), pa.array(cells.ids[cols])], names=[query_id, "_cell"]
+                )
+
+    schema = T.StructType([queries.schema[query_id], T.StructField("_cell", T.IntegerType())])
+    return queries.select(*columns).mapInArrow(run, schema)
+
+
+def to_bundles(
+    queries: DataFrame, query_id: str, vector: str, cells: Cells, bundle: np.ndarray, k: int, bar: str | None
+) -> DataFrame:
+    """Send each query, with its vector, to the bundles (as ``_cell``) of the cells it wants."""
+    by_bundle = np.argsort(bundle, kind="stable")
+    numbers, starts = np.unique(bundle[by_bundle], return_index=True)
+    columns = [query_id, vector] + ([bar] if bar else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
-                best = cells.bounds(_unit(_matrix(part.column(vector))))
-                wanted = cells.home(best, k)
-                if bar is not None:
-                    bars = part.column(bar).to_numpy(zero_copy_only=False)
-                    wanted = ~wanted & (best >= bars[:, None] - SLACK)
-                rows, cols = np.nonzero(wanted)
-                asking = part.select([query_id, vector])
+                bars = part.column(bar).to_numpy(zero_copy_only=False) if bar else None
+                wanted = cells.wanted(_matrix(part.column(vector)), k, bars)
+                rows, cols = np.nonzero(np.logical_or.reduceat(wanted[:, by_bundle], starts, axis=1))
+                asking = part.select(columns)
                 for lo in range(0, len(rows), SENT_ROWS):
                     sent = asking.take(pa.array(rows[lo : lo + SENT_ROWS]))
                     yield pa.RecordBatch.from_arrays(
-                        [*sent.columns, pa.array(cells.ids[cols[lo : lo + SENT_ROWS]])],
-                        names=[query_id, vector, "_cell"],
+                        [*sent.columns, pa.array(numbers[cols[lo : lo + SENT_ROWS]])], names=[*columns, "_cell"]
                     )
 
-    schema = T.StructType([queries.schema[query_id], queries.schema[vector], T.StructField("_cell", T.IntegerType())])
-    columns = [query_id, vector] + ([bar] if bar else [])
+    schema = T.StructType([*(queries.schema[c] for c in columns), T.StructField("_cell", T.IntegerType())])
     return queries.select(*columns).mapInArrow(run, schema)
 
 
+def bundled_grid(sent, train, part, cells, bundle, wanted, asked, dims, block_bytes, k, enough, bar, **names) -> DataFrame:
+    """Queries sent to bundles meet the candidates of those; ``part`` is the candidates' cell.
+
+    ``wanted`` are the cells that any query goes to, ``asked`` is the number of queries of each bundle.
+    """
+    spark = sent.sparkSession
+    read = np.isin(cells.ids, list(wanted))
+    held = {b: int(cells.sizes[read & (bundle == b)].sum()) for b in asked}
+    q_rows = grid_rows(max(asked.values(), default=1), dims, block_bytes)
+    t_rows = grid_rows(int(cells.sizes.sum()), dims, block_bytes)
+    blocks = {b: (-(-n // q_rows), max(1, -(-held[b] // t_rows))) for b, n in asked.items()}
+    numbered = zip(cells.ids.tolist(), bundle.tolist())
+    listed = [(c, b, *blocks[b]) for c, b in numbered if c in wanted and b in blocks]
+    of_cells = spark.createDataFrame(listed, "_part INT, _cell INT, q_blocks INT, t_blocks INT")
+    sizes = spark.createDataFrame([(b, *x) for b, x in blocks.items()], "_cell INT, q_blocks INT, t_blocks INT")
+    return grid(
+        sent.join(F.broadcast(sizes), "_cell"),
+        train.withColumnRenamed(part, "_part").join(F.broadcast(of_cells), "_part"),
+        k,
+        max(1, sum(q * t for q, t in blocks.values())),
+        part="_part",
+        bar=bar,
+        wanted=cells.by_part(enough),
+        **names,
+    )
+
+
+def asked_of(sent: DataFrame) -> dict[int, int]:
+    """How many queries each cell or bundle gets."""
+    return {r["_cell"]: r["n"] for r in sent.groupBy("_cell").agg(F.count("*").alias("n")).collect()}
+
+
+def barred(queries: DataFrame, query_id: str, vector: str, first: DataFrame, k: int) -> DataFrame:
+    """The queries with the k-th score of a first search as ``_bar``; stored."""
+    bars = first.groupBy(F.col("qid").alias(query_id)).agg(
+        F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("_bar")
+    )
+    found = queries.select(query_id, vector).join(bars, query_id, "left")
+    return materialize(found.fillna(float("-inf"), ["_bar"]), "barred")
+
+
 def knn_pruned(queries, train, k, query_id, train_id, vector, exclude_self, carry, block_bytes, shape):
-    """See the module.  Stores the located candidates and the first pass."""
-    spark = queries.sparkSession
+    """See the module.  Stores the located candidates and the queries with their bars."""
     n_train, dims = shape
-    rows = block_rows(block_bytes, dims)
     pivots = choose_pivots(train, train_id, vector, n_train)
     located = materialize(locate(train.select(train_id, *carry, vector), vector, pivots), "located")
     # One row per cell, at most MAX_PIVOTS + 1.
@@ -154,22 +257,20 @@ def knn_pruned(queries, train, k, query_id, train_id, vector, exclude_self, carr
         .collect()
     )
     cells = Cells(pivots, table)
-    held = {r["_cell"]: r["n"] for r in table}
+    bundle = cells.bundles(grid_rows(n_train, dims, block_bytes))
     enough = k + 1 if exclude_self else k
-    names = {"query_id": query_id, "train_id": train_id, "vector": vector, "exclude_self": exclude_self, "carry": carry}
+    names = {"query_id": query_id, "train_id": train_id, "vector": vector, "exclude_self": exclude_self}
 
-    def one_pass(asking: DataFrame, bar: str | None) -> DataFrame:
-        routed = route(asking, query_id, vector, cells, enough, bar)
-        asked = routed.groupBy("_cell").agg(F.count("*").alias("n")).collect()
-        blocks = [(r["_cell"], -(-r["n"] // rows), -(-held[r["_cell"]] // rows)) for r in asked]
-        sizes = spark.createDataFrame(blocks, "_cell INT, q_blocks INT, t_blocks INT")
-        sized = (df.join(F.broadcast(sizes), "_cell") for df in (routed, located))
-        return grid(*sized, k, max(1, sum(q * t for _, q, t in blocks)), **names)
+    def one_pass(asking: DataFrame, bar: str | None, carried: list) -> DataFrame:
+        if not len(bundle):
+            schema = _result_schema(queries, located, query_id, train_id, carried)
+            return merge_top_k(queries.sparkSession.createDataFrame([], schema), k)
+        wanted = asked_of(route(asking, query_id, vector, cells, enough, bar))
+        sent = to_bundles(asking, query_id, vector, cells, bundle, enough, bar)
+        parts = bundled_grid(
+            sent, located, "_cell", cells, bundle, wanted, asked_of(sent), dims, block_bytes, k, enough, bar, carry=carried, **names
+        )
+        return merge_top_k(parts, k)
 
-    first = materialize(merge_top_k(one_pass(queries, None), k).drop("rank"), "first")
-    bars = first.groupBy(F.col("qid").alias(query_id)).agg(
-        F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("_bar")
-    )
-    barred = queries.select(query_id, vector).join(bars, query_id, "left")
-    barred = materialize(barred.fillna(float("-inf"), ["_bar"]), "barred")
-    return merge_top_k(first.unionByName(one_pass(barred, "_bar")), k)
+    first = one_pass(queries, None, [])
+    return one_pass(barred(queries, query_id, vector, first, k), "_bar", list(carry))
