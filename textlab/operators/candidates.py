@@ -195,7 +195,7 @@ class CandidateStore:
                     rows = pa.Table.from_batches([batch]).take(pa.array(at))
                     q, c, score = search_cells(
                         query_ids, asking, rows.column(train_id).to_numpy(), _matrix(rows.column(own)), cell[at],
-                        masks[b], k, exclude_self,
+                        masks[b], k, exclude_self, limits,
                     )
                     picked = rows.select(names).take(pa.array(c))
                     tid, *carried = (col.combine_chunks() for col in picked.columns)

@@ -102,12 +102,13 @@ class Candidates:
         return block
 
     def search(
-        self, query_ids: np.ndarray, queries: np.ndarray, k: int, exclude_self: bool
+        self, query_ids: np.ndarray, queries: np.ndarray, k: int, exclude_self: bool, floor: np.ndarray | None = None
     ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Top k per query, as (query position, candidate position, score) in rank order.
 
         Single precision finds everything that could be in the top k, with the worst
         rounding error of such a product as safety margin; double precision then decides.
+        Scores below a query's ``floor`` may be left out.
         """
         n, dims = self.unit.shape
         if n == 0 or len(query_ids) == 0:
@@ -125,7 +126,14 @@ class Candidates:
                 at = np.minimum(np.searchsorted(self.ids, ids), n - 1)
                 own = np.flatnonzero(self.ids[at] == ids)
                 scores[own, at[own]] = -np.inf
-            if n > k:
+            low = None
+            if floor is not None:
+                low = scores >= (floor[start : start + step] - margin)[:, None]
+                # Many that reach the floor are cut down to k as without one.
+                low = low if np.count_nonzero(low) <= 4 * k * len(ids) else None
+            if low is not None:
+                rows, cols = np.nonzero(low & (scores >= -2.0))
+            elif n > k:
                 kth = np.partition(scores, n - k, axis=1)[:, n - k]
                 rows, cols = np.nonzero(scores >= np.maximum(kth - margin, -2.0)[:, None])
             else:
@@ -239,8 +247,12 @@ def search_cells(
     wanted: Callable[[int], np.ndarray],
     k: int,
     exclude_self: bool,
+    bars: np.ndarray | None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Top k per query over the cells it wants, as (query position, candidate position, score)."""
+    """Top k per query over the cells it wants, as (query position, candidate position, score).
+
+    Scores below a query's bar may be left out.
+    """
     held: list[tuple[np.ndarray, ...]] = []
 
     def best() -> tuple[np.ndarray, ...]:
@@ -258,7 +270,8 @@ def search_cells(
             continue
         at = np.flatnonzero(cell == number)
         found = Candidates(ids[at], matrix[at], k)
-        for q, c, score in found.search(query_ids[asking], queries[asking], k, exclude_self):
+        floor = None if bars is None else bars[asking]
+        for q, c, score in found.search(query_ids[asking], queries[asking], k, exclude_self, floor):
             held.append((asking[q], at[found.rows[c]], score))
             if sum(len(h[0]) for h in held) > HELD_HITS:
                 held[:] = [best()]
@@ -318,7 +331,7 @@ def grid(
             bars = left.column(bar).to_numpy() if bar else None
             q, c, scores = search_cells(
                 ids, queries, right.column("_id").to_numpy(), _matrix(right.column("_v")),
-                right.column(part).to_numpy(), wanted(queries, bars), k, exclude_self,
+                right.column(part).to_numpy(), wanted(queries, bars), k, exclude_self, bars,
             )
             picked = right.select(["_id", *carry]).take(pa.array(c))
             parts.append(pa.table([pa.array(ids[q]), picked.column(0), pa.array(scores), *picked.columns[1:]], names=arrow_names))
