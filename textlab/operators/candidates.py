@@ -151,7 +151,9 @@ class CandidateStore:
             sent = to_bundles(asking, query_id, vector, cells, bundle, enough, bar)
             asked = asked_of(sent)
             if sum(asked.values()) * dims * 8 <= ship_bytes:
-                return self._shipped(sent, cells, bundle, wanted, k, enough, query_id, vector, bar, exclude_self, carried)
+                parts = dict(zip(cells.ids.tolist(), bundle.tolist()))
+                masks = cells.by_part(enough)
+                return self._shipped(sent, list(wanted), k, query_id, vector, exclude_self, carried, bar, parts, masks)
             candidates = self.rows(list(wanted)).withColumnRenamed(self.vector, vector)
             names = {"query_id": query_id, "train_id": self.id_col, "vector": vector, "carry": carried}
             return bundled_grid(
@@ -164,10 +166,15 @@ class CandidateStore:
         return materialize(merged.select("qid", "tid", "score", *self.carry, "rank"), "neighbours")
 
     def _shipped(
-        self, sent: DataFrame, cells: Cells, bundle: np.ndarray, wanted: dict[int, int], k: int, enough: int,
-        query_id: str, vector: str, bar: str | None, exclude_self: bool, carry: list[str],
+        self, sent: DataFrame, wanted: Sequence[int], k: int, query_id: str, vector: str, exclude_self: bool,
+        carry: Sequence[str] = (), bar: str | None = None, numbers: dict[int, int] | None = None,
+        by_part: Callable[[np.ndarray, np.ndarray | None], Callable[[int], np.ndarray]] | None = None,
     ) -> DataFrame:
-        """Score the candidates of some cells where they lie; the caller has checked the size of ``sent``."""
+        """Score the candidates of the ``wanted`` cells where they lie; the caller has checked the size of ``sent``.
+
+        ``numbers`` has the bundle of each cell and ``by_part`` tells which queries of a bundle go to a
+        cell.  Without them queries are sent to cells.
+        """
         table = sent.toArrow()
         place = table.column("_cell").to_numpy()
         ids, matrix = table.column(query_id).to_numpy(), _matrix(table.column(vector))
@@ -176,8 +183,9 @@ class CandidateStore:
         for b in np.unique(place):
             at = np.flatnonzero(place == b)
             asked[int(b)] = ids[at], matrix[at], None if bars is None else bars[at]
-        shipped, by_part = self.spark.sparkContext.broadcast(asked), cells.by_part(enough)
-        numbers = dict(zip(cells.ids.tolist(), bundle.tolist()))
+        shipped = self.spark.sparkContext.broadcast(asked)
+        numbers = numbers or {int(c): int(c) for c in wanted}
+        by_part = by_part or (lambda queries, bars: lambda cell: np.arange(len(queries)))
         train_id, own = self.id_col, self.vector
         names = [train_id, *carry]
         schema = _result_schema(sent, self.rows([]), query_id, train_id, carry)
@@ -188,6 +196,8 @@ class CandidateStore:
                 cell = batch.column("cell").to_numpy()
                 of_batch = np.array([numbers[c] for c in cell.tolist()], dtype=np.int32)
                 for b in np.unique(of_batch):
+                    if b not in shipped.value:
+                        continue
                     query_ids, asking, limits = shipped.value[int(b)]
                     if b not in masks:
                         masks[b] = by_part(asking, limits)
@@ -203,7 +213,7 @@ class CandidateStore:
                         [pa.array(query_ids[q]), tid, pa.array(score), *carried], names=["qid", "tid", "score", *carry]
                     )
 
-        return self.rows(list(wanted)).mapInArrow(match, schema)
+        return self.rows(wanted).mapInArrow(match, schema)
 
 
 def prepared(
