@@ -28,14 +28,19 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 # A candidate matrix up to this size (as doubles) is broadcast.
 BROADCAST_BYTES = 64 * 1024 * 1024
-# Size of one block (as doubles) on either side of a grid cell.
+# Most that one block (as doubles) on either side of a grid cell grows to, and where it begins.
 BLOCK_BYTES = 64 * 1024 * 1024
-# Most tasks a grid is dealt out to.
+FIRST_BLOCK_BYTES = 16 * 1024 * 1024
+# Most tasks a grid is dealt out to, and the blocks that are worth a task.
 MAX_TASKS = 20_000
+TASK_BYTES = 32 * 1024 * 1024
 # Copies of a row that a grid lays out before blocks smaller than BLOCK_BYTES grow with the table.
 COPIES = 16
-# Scores held at once while a block pair is worked off.
+# Scores held at once while a block pair is worked off, and candidates they are for.
 SCORE_BYTES = 16 * 1024 * 1024
+TILE = 4096
+# Candidates whose scores give the first bar.
+FIRST_SCORES = 512
 # Hits held at once while the cells of a block pair are worked off.
 HELD_HITS = 2_000_000
 # Vectors rescored at once in double precision.
@@ -55,16 +60,53 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     if column.null_count or pc.min(lengths).as_py() != pc.max(lengths).as_py():
         raise ValueError("vectors of one table must be there and have the same length")
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    matrix = flat.reshape(rows, -1).astype(np.float64)
+    matrix = flat.reshape(rows, -1).astype(np.float64, copy=False)
     if not np.isfinite(matrix).all():
         raise ValueError("vectors must hold finite numbers")
     return matrix
 
 
-def _unit(matrix: np.ndarray) -> np.ndarray:
-    """Rows scaled to length one; zero rows stay zero."""
-    norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
-    return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
+def _unit(matrix: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
+    """Rows, or those of ``order``, scaled to length one; zero rows stay zero."""
+    n = len(matrix) if order is None else len(order)
+    out = np.zeros((n, matrix.shape[1]))
+    piece = max(1, RESCORE_BYTES // (8 * max(matrix.shape[1], 1)))
+    for lo in range(0, n, piece):
+        part = matrix[lo : lo + piece] if order is None else matrix[order[lo : lo + piece]]
+        norms = np.sqrt((part * part).sum(axis=1, keepdims=True))
+        np.divide(part, norms, out=out[lo : lo + piece], where=norms > 0)
+    return out
+
+
+def _copy_numbers(unit: np.ndarray) -> np.ndarray:
+    """For each row how many rows before it are the same.
+
+    Rows meet by a hash.  A row that differs from the first one of its hash counts as without copies.
+    """
+    n, dims = unit.shape
+    factors = np.random.default_rng(0).integers(0, 2**63, dims, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    hashes = np.empty(n, dtype=np.uint64)
+    piece = max(1, RESCORE_BYTES // (8 * max(dims, 1)))
+    for lo in range(0, n, piece):
+        bits = unit[lo : lo + piece].view(np.uint64)
+        hashes[lo : lo + piece] = ((bits ^ (bits >> np.uint64(29))) * factors).sum(axis=1)
+    order = np.argsort(hashes, kind="stable")
+    ordered = hashes[order]
+    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    sizes = np.diff(np.append(starts, n))
+    first = np.empty(n, dtype=np.int64)
+    first[order] = np.repeat(order[starts], sizes)
+    same = np.ones(n, dtype=bool)
+    for lo in range(0, n, piece):
+        at = np.flatnonzero(first[lo : lo + piece] != np.arange(lo, min(lo + piece, n))) + lo
+        same[at] = (unit[at].view(np.uint64) == unit[first[at]].view(np.uint64)).all(axis=1)
+    alike = order[same[order]]
+    groups = first[alike]
+    starts = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
+    sizes = np.diff(np.append(starts, len(alike)))
+    numbers = np.zeros(n, dtype=np.int64)
+    numbers[alike] = np.arange(len(alike)) - np.repeat(starts, sizes)
+    return numbers
 
 
 class Candidates:
@@ -78,17 +120,12 @@ class Candidates:
 
     def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int):
         order = np.argsort(ids, kind="stable")
-        ids, unit = ids[order], _unit(matrix[order])
+        ids, unit = ids[order], _unit(matrix, order)
         if len(ids) > k + 1:
-            keys = np.ascontiguousarray(unit).view(np.dtype((np.void, unit.shape[1] * 8))).ravel()
-            _, group = np.unique(keys, return_inverse=True)
-            by_group = np.argsort(group, kind="stable")
-            starts = np.flatnonzero(np.diff(group[by_group], prepend=-1))
-            sizes = np.diff(np.append(starts, len(ids)))
-            copy_number = np.empty(len(ids), dtype=np.int64)
-            copy_number[by_group] = np.arange(len(ids)) - np.repeat(starts, sizes)
-            keep = np.flatnonzero(copy_number <= k)
-            order, ids, unit = order[keep], ids[keep], unit[keep]
+            copies = _copy_numbers(unit)
+            if copies.max() > k:
+                keep = np.flatnonzero(copies <= k)
+                order, ids, unit = order[keep], ids[keep], unit[keep]
         self.rows = order  # positions in the caller's table
         self.ids = ids
         self.unit = unit
@@ -108,45 +145,71 @@ class Candidates:
 
         Single precision finds everything that could be in the top k, with the worst
         rounding error of such a product as safety margin; double precision then decides.
-        Scores below a query's ``floor`` may be left out.
+        Candidates are scored a tile at a time; of each tile only what reaches the k-th
+        score so far is looked at.  Scores below a query's ``floor`` may be left out.
         """
         n, dims = self.unit.shape
         if n == 0 or len(query_ids) == 0:
             return
         if queries.shape[1] != dims:
             raise ValueError("queries and candidates must have the same vector length")
-        margin = 2.0 * (dims + 4) * 2.0**-23
-        step = max(1, SCORE_BYTES // (4 * n))
-        piece = max(1, RESCORE_BYTES // (8 * dims))
+        margin = np.float32(2.0 * (dims + 4) * 2.0**-23)
+        step = max(1, SCORE_BYTES // (4 * min(n, TILE)))
         for start in range(0, len(query_ids), step):
             ids = query_ids[start : start + step]
             unit = _unit(queries[start : start + step])
-            scores = unit.astype(np.float32) @ self.single.T
+            single = unit.astype(np.float32)
+            limit = np.full(len(ids), -2.0, dtype=np.float32)
+            if floor is not None:
+                np.maximum(limit, floor[start : start + step].astype(np.float32) - margin, out=limit)
+            own = at = np.zeros(0, dtype=np.int64)
             if exclude_self:
                 at = np.minimum(np.searchsorted(self.ids, ids), n - 1)
                 own = np.flatnonzero(self.ids[at] == ids)
-                scores[own, at[own]] = -np.inf
-            low = None
-            if floor is not None:
-                low = scores >= (floor[start : start + step] - margin)[:, None]
-                # Many that reach the floor are cut down to k as without one.
-                low = low if np.count_nonzero(low) <= 4 * k * len(ids) else None
-            if low is not None:
-                rows, cols = np.nonzero(low & (scores >= -2.0))
-            elif n > k:
-                kth = np.partition(scores, n - k, axis=1)[:, n - k]
-                rows, cols = np.nonzero(scores >= np.maximum(kth - margin, -2.0)[:, None])
-            else:
-                rows, cols = np.nonzero(scores >= -2.0)
-            exact = np.empty(len(rows))
-            for lo in range(0, len(rows), piece):
-                part = slice(lo, lo + piece)
-                exact[part] = (unit[rows[part]] * self.unit[cols[part]]).sum(axis=1)
-            order = np.lexsort((cols, -exact, rows))
-            rows, cols, exact = rows[order], cols[order], exact[order]
-            first = np.searchsorted(rows, np.arange(len(ids)))
-            best = np.arange(len(rows)) - first[rows] < k
-            yield start + rows[best], cols[best], exact[best]
+                at = at[own]
+            rows = cols = np.zeros(0, dtype=np.int64)
+            values = np.zeros(0)
+            for lo in range(0, n, TILE):
+                scores = single @ self.single[lo : lo + TILE].T
+                here = (at >= lo) & (at < lo + TILE)
+                scores[own[here], at[here] - lo] = -np.inf
+                if lo == 0 and floor is None and scores.shape[1] > k:
+                    few = max(FIRST_SCORES, 2 * k)
+                    sample = scores[:, :few]
+                    kth = np.partition(sample, sample.shape[1] - k, axis=1)[:, sample.shape[1] - k]
+                    np.maximum(limit, kth - margin, out=limit)
+                flat = np.flatnonzero(scores >= limit[:, None])
+                if not len(flat):
+                    continue
+                r, c = np.divmod(flat, scores.shape[1])
+                rows, cols = np.concatenate([rows, r]), np.concatenate([cols, c + lo])
+                values = np.concatenate([values, scores.ravel()[flat]])
+                if len(rows) > HELD_HITS:
+                    rows, cols, values = self._best(unit, rows, cols, k)
+                order = np.lexsort((-values, rows))
+                rows, cols, values = rows[order], cols[order], values[order]
+                first = np.searchsorted(rows, np.arange(len(ids)))
+                full = np.flatnonzero(np.diff(np.append(first, len(rows))) >= k)
+                kth = values[first[full] + k - 1].astype(np.float32) - margin
+                limit[full] = np.maximum(limit[full], kth)
+                stay = values >= limit[rows]
+                rows, cols, values = rows[stay], cols[stay], values[stay]
+            rows, cols, exact = self._best(unit, rows, cols, k)
+            yield start + rows, cols, exact
+
+    def _best(
+        self, unit: np.ndarray, rows: np.ndarray, cols: np.ndarray, k: int
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The top k per query of pairs of queries and candidates, by their scores in double precision."""
+        piece = max(1, RESCORE_BYTES // (8 * unit.shape[1]))
+        exact = np.empty(len(rows))
+        for lo in range(0, len(rows), piece):
+            part = slice(lo, lo + piece)
+            exact[part] = (unit[rows[part]] * self.unit[cols[part]]).sum(axis=1)
+        order = np.lexsort((cols, -exact, rows))
+        rows, cols, exact = rows[order], cols[order], exact[order]
+        best = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        return rows[best], cols[best], exact[best]
 
 
 def vector_shape(df: DataFrame, vector: str) -> tuple[int, int]:
@@ -283,6 +346,7 @@ def grid(
     train: DataFrame,
     k: int,
     pairs: int,
+    pair_bytes: int,
     *,
     query_id: str,
     train_id: str,
@@ -296,15 +360,17 @@ def grid(
     """Score queries against the candidates of the same ``_cell``, block pair by block pair.
 
     Either side also has ``q_blocks`` and ``t_blocks``, the cell's number of blocks; ``pairs``
-    is the number of block pairs in all.  Gives the top k of each block pair as ``qid, tid,
+    is the number of block pairs in all, of at most ``pair_bytes`` each.  Gives the top k of each block pair as ``qid, tid,
     score, *carry``.
 
     A cell may be made of parts, by the column ``part`` of ``train``.  ``wanted`` then gives for
     query vectors, and their values of ``bar``, which of them each part has to be searched for.
     """
     # The work is in the pairs and not in the bytes, so their number decides how many tasks
-    # there are; twice as many leaves few tasks with several pairs.
-    tasks = min(2 * pairs, MAX_TASKS)
+    # there are; twice as many leaves few tasks with several pairs.  Pairs of small blocks
+    # share tasks, a few for each core.
+    worth = max(4 * queries.sparkSession.sparkContext.defaultParallelism, 2 * pairs * pair_bytes // TASK_BYTES)
+    tasks = min(2 * pairs, worth, MAX_TASKS)
 
     def laid_out(df, key, extra, own, own_blocks, other, other_blocks):
         # Ids are unique, so a hash of the id gives even blocks whatever the data looks like.
@@ -359,13 +425,15 @@ def merge_top_k(parts: DataFrame, k: int) -> DataFrame:
 def _knn_block(queries, train, k, query_id, train_id, vector, exclude_self, carry, block_bytes, shape):
     n_train, dims = shape
     n_query, _ = vector_shape(queries, vector)
-    q_blocks, t_blocks = (max(1, -(-n // grid_rows(n, dims, block_bytes))) for n in (n_query, n_train))
+    q_rows, t_rows = (grid_rows(n, dims, block_bytes) for n in (n_query, n_train))
+    q_blocks, t_blocks = max(1, -(-n_query // q_rows)), max(1, -(-n_train // t_rows))
     one_cell = {"_cell": F.lit(0), "q_blocks": F.lit(q_blocks), "t_blocks": F.lit(t_blocks)}
     parts = grid(
         queries.withColumns(one_cell),
         train.withColumns(one_cell),
         k,
         q_blocks * t_blocks,
+        (q_rows + t_rows) * dims * 8,
         query_id=query_id,
         train_id=train_id,
         vector=vector,
@@ -387,7 +455,7 @@ def knn_join(
     carry: Sequence[str] = (),
     strategy: str = "auto",
     broadcast_bytes: int = BROADCAST_BYTES,
-    block_bytes: int = BLOCK_BYTES,
+    block_bytes: int = FIRST_BLOCK_BYTES,
 ) -> DataFrame:
     """The k nearest candidates of every query: ``qid, tid, score, *carry, rank``.
 

@@ -224,6 +224,7 @@ def bundled_grid(sent, train, part, cells, bundle, wanted, asked, dims, block_by
         train.withColumnRenamed(part, "_part").join(F.broadcast(of_cells), "_part"),
         k,
         max(1, sum(q * t for q, t in blocks.values())),
+        (q_rows + t_rows) * dims * 8,
         part="_part",
         bar=bar,
         wanted=cells.by_part(enough),
