@@ -33,6 +33,19 @@ def test_word_encoder_is_the_library(path, lower):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == expected(text), text
 
 
+def test_words_with_signs_and_line_ends_are_kept(monkeypatch):
+    text, expected = "one two, three.\nfour, two, (Über) two!\none 7. é, two,\nÜber. İ, ab", reference(BYTE)
+    encoder, asked = WordEncoder(BYTE, False, added_tokens=True), []
+    for _ in range(3):
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == expected(text)
+    word = encoder._word
+    monkeypatch.setattr(encoder, "_word", lambda *a: asked.append(a) or word(*a))
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == expected(text) and asked == []
+    # Not of the plain form: other white space, runs of it, or some at an end.
+    for odd in ("two,\xa0two,", "two,  two,", "two,\n\ntwo,", " two,", "two,\n", "two, \ntwo,", "two,\n two,", "\n", "a\tb", "Über,\u2003b"):
+        assert np.frombuffer(encoder.encode(odd), "<u4").tolist() == expected(odd), odd
+
+
 def texts():
     rng = random.Random(4)
     return [None, "", LONG, LONG, "x", *(" ".join(rng.choice(["the", "word", "Über", "12"]) for _ in range(rng.randrange(900))) for _ in range(60))]

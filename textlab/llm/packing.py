@@ -23,6 +23,8 @@ from textlab.storage import materialize
 
 #: Ids in a sequence.
 SEQUENCE = 1024
+#: Words that a worker remembers, as in the encoder, but half as many again: encoding is nearly all of the work.
+CACHE_WORDS = 300_000
 
 
 def pack_histogram(counts: dict[int, int], size: int = SEQUENCE, longest_pack: bool = False) -> list[tuple[int, list[int]]]:
@@ -93,7 +95,7 @@ def token_pieces(
 
 def _cutter(tokenizer: str, end_id: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_state(f"words-{tokenizer}", lambda: WordEncoder(tokenizer, lower_words=False, added_tokens=True))
+        encoder = worker_state(f"pieces-{tokenizer}", lambda: WordEncoder(tokenizer, False, CACHE_WORDS, added_tokens=True))
         task = TaskContext.get().partitionId()
         end = int(end_id).to_bytes(4, "little")
         made = [0] * (size + 1)

@@ -10,6 +10,8 @@ below only splits where the library itself is certain to split.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -22,6 +24,11 @@ _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 # White space to Python but not to the library.
 _ODD_SPACE = "\x1c\x1d\x1e\x1f"
 _PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+# White space other than blanks and line ends, of which no text with the plain form has any,
+# and runs of those two, of which it has none either.
+_OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+_ASCII_SPACE = [c for c in _OTHER_SPACE if c.isascii()]
+_RUNS = ("  ", " \n", "\n ", "\n\n")
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -31,6 +38,23 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _is_plain(text: str) -> bool:
+    """Whether white space is single blanks and line ends between words, and nothing else."""
+    if text[0].isspace() or text[-1].isspace() or any(run in text for run in _RUNS):
+        return False
+    return not any(c in text for c in (_ASCII_SPACE if text.isascii() else _OTHER_SPACE))
+
+
+def _little_endian(ids: list[int]) -> bytes:
+    data = array("I", ids)
+    if sys.byteorder != "little":
+        data.byteswap()
+    return data.tobytes()
+
+
+_NOTHING: dict[str, bytes] = {}
+
+
 class WordEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
@@ -53,6 +77,7 @@ class WordEncoder:
         self._lower = lower_words
         self._limit = cache_words
         self._bytes = _byte_alphabet()
+        self._blank = self._bytes[ord(" ")]
         self._spaced: dict[str, bytes] = {}  # words after a space (or, lower-cased vocabularies, any)
         self._bare: dict[str, bytes] = {}  # pieces without a space before them
         self._tails: dict[str, bytes] = {}
@@ -72,26 +97,39 @@ class WordEncoder:
     def _ask(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        mapped = piece.encode().decode("latin-1").translate(self._bytes)
-        return np.array([t.id for t in self._model.tokenize(mapped)], "<u4").tobytes()
+    def _piece(self, stem: str, space: str) -> bytes:
+        """Ids of a word of letters, with the space before it."""
+        # Letters of ASCII stand for themselves.
+        mapped = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self._bytes)
+        if space:
+            mapped = self._blank + mapped
+        return _little_endian([t.id for t in self._model.tokenize(mapped)])
 
     def _word(self, word: str, space: str, known: dict[str, bytes]) -> bytes:
-        """Ids of a word not met in this generation; a word and the signs after it are kept apart."""
+        """Ids of a word not met in this generation.
+
+        A word and the signs after it are kept apart, until a word that is known comes with signs.
+        """
+        if word[0] == "\n":  # only in texts of the plain form, see ``encode``
+            found = known[word] = self._newline + self._words([word[1:]], self._bare, "")[0]
+            return found
         stem = word.rstrip(_TAIL)
         # Letters of the Latin blocks are their own composed form, and one letter when lower-cased.
         if not (stem.isalpha() and (stem.isascii() or (max(stem) < "ɐ" and "İ" not in stem))):
             found = known[word] = self._older.get(id(known), {}).get(word) or self._ask(space + word)
             return found
-        found = known.get(stem)
+        found = fresh = known.get(stem)
         if found is None:
-            found = self._older.get(id(known), {}).get(stem)
-            found = known[stem] = found or self._piece(space + (stem.lower() if self._lower else stem))
-        if tail := word[len(stem) :]:
+            found = self._older.get(id(known), _NOTHING).get(stem)
+            found = known[stem] = found or self._piece(stem.lower() if self._lower else stem, space)
+        if len(stem) < len(word):
+            tail = word[len(stem) :]
             ids = self._tails.get(tail)
             if ids is None:
                 ids = self._tails[tail] = self._ask(tail)
             found += ids
+            if fresh is not None:
+                known[word] = found
         return found
 
     def _words(self, words: list[str], known: dict[str, bytes], space: str) -> list[bytes]:
@@ -99,7 +137,7 @@ class WordEncoder:
         at = -1
         for _ in range(found.count(None)):
             at = found.index(None, at + 1)
-            found[at] = self._word(words[at], space, known)
+            found[at] = known.get(words[at]) or self._word(words[at], space, known)
         return found
 
     def _holds_added(self, text: str) -> bool:
@@ -117,21 +155,13 @@ class WordEncoder:
             self._forget()
         if any(c in text for c in _ODD_SPACE):
             return self._ask(text)
-        words = text.split()
         if self._lower:
-            return b"".join(self._words(words, self._spaced, ""))
-        # White space is single blanks and line ends between words, and nothing else?
-        space = len(text) - sum(map(len, words))
-        if space != len(words) - 1 or space != text.count(" ") + text.count("\n"):
+            return b"".join(self._words(text.split(), self._spaced, ""))
+        if not _is_plain(text):
             return b"".join(self._pieces(_PIECES.findall(text)))
-        out: list[bytes] = []
-        for i, line in enumerate(text.split("\n")):
-            if i:
-                out.append(self._newline)
-            first, *rest = line.split(" ")
-            out += self._words([first], self._bare, "")
-            out += self._words(rest, self._spaced, " ")
-        return b"".join(out)
+        # A word that begins a line takes the line end along; the first one has none.
+        first, *words = text.replace("\n", " \n").split(" ")
+        return b"".join(self._words([first], self._bare, "") + self._words(words, self._spaced, " "))
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         """Pieces of a text with runs of white space: a word with the space before it, or a run."""
