@@ -4,6 +4,10 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import types
+
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from textlab.llm import collocations as C
@@ -103,3 +107,20 @@ def test_equal_passages_share_chunks():
     ways = [[b"p%d" % i for i in range(k)] + passage for k in (1, 13)]
     first, second = ({c for c, _ in C.cut(w)} for w in ways)
     assert len(first & second) >= 0.8 * len(first)
+
+
+@pytest.mark.parametrize("most,rows", [(1000, 19), (3, 57)])
+def test_a_task_reports_a_phrase_once(most, rows):
+    everything = types.SimpleNamespace(value=np.full(1024, 255, np.uint8))
+    listed = [(lang, "a b c a", 4, 2) for lang in ("en", "de")] + [("fr", ". .", 2, 5)]
+    batch = pa.RecordBatch.from_pylist(
+        [{"lang": l, "chunk": c, "own": o, "n": n, "codes": C.word_codes(c.encode().split(b" ")).tobytes()} for l, c, o, n in listed]
+    )
+    found = C._phrase_counts(3, everything, everything, everything, most)(iter([batch] * 3))
+    found = [r for part in found for r in part.to_pylist()]
+    assert len(found) == rows
+    total = Counter()
+    for r in found:
+        total[r["lang"], r["phrase"]] += r["n"]
+    expected = {"": 24, "a": 12, "b": 6, "c": 6, "a b": 6, "b c": 6, "c a": 6, "a b c": 6, "b c a": 6}
+    assert dict(total) == {(l, p): n for l in ("en", "de") for p, n in expected.items()} | {("fr", ""): 0}

@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F
 
 from textlab.llm.batches import slices
@@ -51,6 +52,11 @@ _FOLD = bytes.maketrans(
 _PIECE_BITS = 8 * 4096
 #: Distinct marks that a task holds before it passes them on.
 _HELD = 1 << 20
+#: Distinct phrases that a task holds before it passes them on.
+HELD_PHRASES = 1 << 18
+#: Tasks of the last round for each core, and parts of the dictionary that a task takes at most beyond that.
+TASKS_PER_CORE = 4
+JOINED_PARTS = 16
 #: Rows of the dictionary that are looked at together.
 _ROWS = 8192
 
@@ -254,6 +260,61 @@ def _frequent_marks(
     return materialize(counted.filter(F.col("n") >= min_count).select("mark"), name)
 
 
+def _phrase_counts(longest: int, words: Broadcast, pairs: Broadcast, rest: Broadcast, most: int = HELD_PHRASES):
+    """A ``mapInArrow`` function that counts the phrases that the bitmaps let through, as ``lang, phrase, n``.
+
+    Counts are held for the whole task, unless more than ``most`` phrases come together.
+    """
+
+    def reported(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, found in held.items():
+            phrases, numbers = list(found), list(found.values())
+            for at in range(0, len(phrases), 50_000):
+                part = slice(at, at + 50_000)
+                columns = [
+                    pa.array([lang] * len(phrases[part]), pa.string()),
+                    pa.array(phrases[part], pa.binary()).cast(pa.string()),
+                    pa.array(numbers[part], pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter] = {}
+        for rows in slices(batches, _ROWS):
+            part = _Chunks(rows, longest)
+            tokens_of = b" ".join(rows.column("chunk").cast(pa.binary()).to_pylist()).split(b" ")
+            times = part.n[part.row]
+            code: dict[str, int] = {}
+            lang_of = np.array([code.setdefault(lang, len(code)) for lang in part.langs])[part.row]
+            places = []
+            for size in range(1, longest + 1):
+                good = part.holding(size, words.value, pairs.value)
+                if size != 2 and len(good):
+                    good &= _are_set(rest.value, part.marks[size - 1])
+                places.append(np.flatnonzero(good))
+            mine = part.whole[0] & part.own
+            for lang, number in code.items():
+                found = held.setdefault(lang, Counter())
+                # The empty phrase stands for all words.
+                found[b""] += int(times[mine & (lang_of == number)].sum())
+                for size, at in enumerate(places, 1):
+                    at = at[lang_of[at] == number]
+                    more = times[at] > 1
+                    if size == 1:
+                        listed = [tokens_of[i] for i in at.tolist()]
+                    else:
+                        listed = [b" ".join(tokens_of[i : i + size]) for i in at.tolist()]
+                    found.update(listed)
+                    for i in np.flatnonzero(more).tolist():
+                        found[listed[i]] += int(times[at[i]]) - 1
+            if sum(map(len, held.values())) > most:
+                yield from reported(held)
+                held = {}
+        yield from reported(held)
+
+    return count
+
+
 def frequent_phrases(
     docs: DataFrame,
     *,
@@ -286,43 +347,12 @@ def frequent_phrases(
         lambda c: np.flatnonzero(c.holding(2, words.value, pairs.value)),
     )
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in slices(batches, _ROWS):
-            part = _Chunks(rows, longest)
-            tokens_of = b" ".join(rows.column("chunk").cast(pa.binary()).to_pylist()).split(b" ")
-            times = part.n[part.row]
-            code: dict[str, int] = {}
-            lang_of = np.array([code.setdefault(lang, len(code)) for lang in part.langs])[part.row]
-            places = []
-            for size in range(1, longest + 1):
-                good = part.holding(size, words.value, pairs.value)
-                if size != 2 and len(good):
-                    good &= _are_set(rest.value, part.marks[size - 1])
-                places.append(np.flatnonzero(good))
-            mine = part.whole[0] & part.own
-            for lang, number in code.items():
-                # The empty phrase stands for all words.
-                found = Counter({b"": int(times[mine & (lang_of == number)].sum())})
-                for size, at in enumerate(places, 1):
-                    at = at[lang_of[at] == number]
-                    more = times[at] > 1
-                    if size == 1:
-                        listed = [tokens_of[i] for i in at.tolist()]
-                    else:
-                        listed = [b" ".join(tokens_of[i : i + size]) for i in at.tolist()]
-                    found.update(listed)
-                    for i in np.flatnonzero(more).tolist():
-                        found[listed[i]] += int(times[at[i]]) - 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([lang] * len(found), pa.string()),
-                        pa.array(list(found), pa.binary()).cast(pa.string()),
-                        pa.array(list(found.values()), pa.int64()),
-                    ],
-                    ["lang", "phrase", "n"],
-                )
-
-    counted = chunks.mapInArrow(count, "lang string, phrase string, n bigint")
+    # A task reports a phrase once, so their number and not that of the blocks decides on the rows.
+    spread = max(
+        TASKS_PER_CORE * docs.sparkSession.sparkContext.defaultParallelism, chunks.rdd.getNumPartitions() // JOINED_PARTS
+    )
+    count = _phrase_counts(longest, words, pairs, rest)
+    counted = chunks.coalesce(spread).mapInArrow(count, "lang string, phrase string, n bigint")
     counted = counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     counted = materialize(counted.filter((F.col("n") >= min_count) | (F.col("phrase") == "")), "phrases")
     size = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
