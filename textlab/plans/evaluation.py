@@ -36,7 +36,7 @@ def knn_predictor(
     """A predictor for new texts: embed them, let the nearest rows of ``train`` vote."""
 
     def predictor(records: DataFrame) -> DataFrame:
-        queries = materialize(embed(records, embedder, **(embed_options or {})), "queries")
+        queries = materialize(embed(records, embedder, **{"batched": True, **(embed_options or {})}), "queries")
         neighbours = knn_join(queries, train, k, carry=["label"], **knn_options)
         return knn_vote(queries, neighbours).select("id", "prediction", "confidence")
 

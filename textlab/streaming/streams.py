@@ -50,7 +50,7 @@ def stream_embed(
     rows: DataFrame, embedder: Embedder, path: str, checkpoint: str, *, trigger: dict = NOW, **options
 ) -> StreamingQuery:
     """Embed arriving ``id, text`` rows; finished files are never embedded again."""
-    return _to_parquet(embed(rows, embedder, **options), path, checkpoint, trigger)
+    return _to_parquet(embed(rows, embedder, **{"batched": True, **options}), path, checkpoint, trigger)
 
 
 def stream_score(
