@@ -26,11 +26,16 @@ def noted(monkeypatch, name):
     return paths
 
 
-def test_cleaned_texts_are_stored_once(spark, folder, monkeypatch):
+@pytest.mark.parametrize("dealt", [False, True])
+def test_cleaned_texts_are_stored_once_or_never(spark, folder, monkeypatch, dealt):
+    """A table in as many files as there are cores is cleaned where it is read."""
+    monkeypatch.setattr(registry, "spread", lambda docs, *keys: docs.repartition(3, *keys) if dealt else docs)
     paths = noted(monkeypatch, "scratch_path")
-    corpus = registry.prompt_corpus(spark, folder)
-    texts = [p for p in paths if "text" in spark.read.parquet(p).columns]
-    assert len(texts) == 1 and corpus.count() == 42
+    for store in (True, False):
+        paths.clear()
+        corpus = registry.prompt_corpus(spark, folder, store=store)
+        texts = [p for p in paths if "text" in spark.read.parquet(p).columns]
+        assert len(texts) == (store or dealt) and corpus.count() == 42
     assert {r["text"] for r in corpus.collect()} == {f"See [URL] word{i % 7} and more text" for i in range(40)}
 
 
@@ -42,7 +47,7 @@ def test_labels_that_are_not_shipped_give_the_same_rows(spark, folder, monkeypat
 
 def test_instructions_are_written_compressed(spark, folder, monkeypatch, tmp_path):
     paths = noted(monkeypatch, "scratch_path")
-    monkeypatch.setattr(registry, "prompt_inputs", lambda *a: (None, None))
+    monkeypatch.setattr(registry, "prompt_inputs", lambda *a, **options: (None, None))
     schema = "split STRING, variant STRING, instruction STRING, output STRING"
     rows = [("train", v, f"text {i} é\n\"", "ai") for i in range(50) for v in ("with_rag", "without_rag")]
     monkeypatch.setattr(registry.training, "training_records", lambda *a: spark.createDataFrame(rows, schema))
